@@ -108,6 +108,6 @@ def repeat(documents: DataFrame) -> DataFrame:
     times = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
     many = mixed.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
     short = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    text = F.when(short < F.col("_size"), F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), short.cast("string"), F.lit("}")), 0)).otherwise(F.col("text"))
+    text = F.when(short < F.col("_size"), F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), short.cast("string"), F.lit("}+")), F.lit(0))).otherwise(F.col("text"))
     columns = {"text": text} | ({"n_chars": F.when(short < F.col("_size"), F.length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
     return many.withColumns(columns).select(*documents.columns)
