@@ -6,17 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixture, shards
+from . import dart_minhash, decontaminate, language, mixture, shards, tokens
+
+try:
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+except ImportError:  # another place can be given to tokens.write
+    TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, group_id (smallest doc_id of its near duplicates), group_rows, kept."""
+    return dart_minhash.groups(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_and_read(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,8 +41,12 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.weigh(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_kd_shards, op7_decontaminate, op9_mixture)
+    f.__name__: f for f in (op3_dart_minhash, op4_kd_shards, op5_repair_tokens, op7_decontaminate, op9_mixture, op10_language)
 }
 
 ORACLES: dict[str, str] = {}

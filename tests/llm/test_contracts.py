@@ -155,3 +155,191 @@ def test_op9_edges(spark):
     taken = weigh(frame).toPandas().taken.sum()
     assert sum(len((t or "").split()) for t in mixed.text) == taken
     assert list(mixed.columns) == frame.columns
+
+
+def shingle_bag(text):
+    from collections import Counter
+
+    w = words(text)
+    return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
+
+
+def brute_groups(documents, least=0.8):
+    bags = [shingle_bag(d["text"]) for d in documents]
+    root = list(range(len(bags)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(bags)):
+        for j in range(i):
+            if bags[i] and bags[j]:
+                both = (bags[i] & bags[j]).total()
+                if both >= least * (bags[i].total() + bags[j].total() - both) - 1e-9:
+                    root[find(i)] = find(j)
+    smallest = {}
+    for i, d in enumerate(documents):
+        smallest.setdefault(find(i), []).append(d["doc_id"])
+    return sorted((d["doc_id"], min(smallest[find(i)]), len(smallest[find(i)])) for i, d in enumerate(documents))
+
+
+def test_op3(spark, sf):
+    got = result(spark, sf, "op3_dart_minhash")
+    assert sorted(zip(got.doc_id, got.group_id, got.group_rows, strict=True)) == brute_groups(rows(sf, "documents"))
+    assert (got.kept == (got.doc_id == got.group_id)).all()
+
+
+def test_op3_edges(spark):
+    import random
+
+    from tarnwork.llm.dart_minhash import groups, one_of_each
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, "One,  two!"), (5, "one two"), (6, "one two three")]
+    for i in range(40):  # a chain: neighbours are near, the ends are not
+        base = list(base)
+        base[(3 * i) % 120] = f"x{i}"
+        docs.append((100 + i, " ".join(base)))
+    docs += [(200, "long " * 3000), (201, "long " * 2990), (202, "long " * 1500)]
+    frame = spark.createDataFrame([(a, t, a) for a, t in docs], "doc_id long, text string, node long")
+    got = groups(frame).toPandas()
+    assert sorted(zip(got.doc_id, got.group_id, got.group_rows, strict=True)) == brute_groups([{"doc_id": a, "text": t} for a, t in docs])
+    kept = one_of_each(frame).toPandas()
+    assert sorted(kept.doc_id) == [1, 2, 3, 4, 6, 100, 200, 202]
+    assert list(kept.columns) == frame.columns
+    assert groups(frame.limit(0)).count() == 0
+
+
+def test_darts_estimate_weighted_similarity():
+    import numpy as np
+
+    from tarnwork.llm.dart_minhash import cells, signatures
+
+    x = np.arange(1, 60, dtype=np.uint64)
+    a, b = np.linspace(0.2, 3, 59), np.linspace(0.2, 3, 59) ** 0.7
+    element, text = np.concatenate([x, x]), np.repeat([0, 1], 59)
+    s = signatures(*cells(element, text, np.concatenate([a, b])), 2, 2048)
+    assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
+
+
+def brute_tokens(documents):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(Q.TOKENIZER)
+    out, start = [], 0
+    for d in documents:
+        ids = np.array([*tok.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        out.append((d["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+COLUMNS5 = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_op5(spark, sf):
+    got = result(spark, sf, "op5_repair_tokens")[COLUMNS5].sort_values("start")
+    want = brute_tokens(sorted(rows(sf, "documents"), key=lambda d: d["doc_id"]))
+    assert list(map(tuple, got.itertuples(index=False))) == want
+
+
+def test_op5_edges(spark):
+    from tarnwork.llm.tokens import encode_and_read
+
+    texts = [None, "", "it's IT'S don't'x ''s 12ab!?", "<|endoftext|> a <|startoftext|>", "é é İ ẞ Σσς 漢字 😀̸", "\x1c\x1f a\x85b\xa0c", "≠ ¼ ª", "word " * 4000, "a‍b \t\r\n"]
+    docs = [(i, t, i) for i, t in enumerate(texts)]
+    got = encode_and_read(spark.createDataFrame(docs, "doc_id long, text string, ids int"), Q.TOKENIZER).toPandas()[COLUMNS5].sort_values("start")
+    assert list(map(tuple, got.itertuples(index=False))) == brute_tokens([{"doc_id": i, "text": t} for i, t, _ in docs])
+    ties = spark.createDataFrame([(None, "x", 1), (3, "y", 1), (3, "y", 1), (3, "z z", 1)], "doc_id long, text string, ids int")
+    got = encode_and_read(ties, Q.TOKENIZER).toPandas().sort_values("start")
+    assert got.start.tolist() == [0, *got.n_tokens.cumsum().tolist()[:-1]] and len(got) == 4 and got.doc_id.isna().tolist()[0]
+    assert encode_and_read(ties.limit(0), Q.TOKENIZER).count() == 0
+
+
+def test_repair_random_access():
+    import numpy as np
+
+    from tarnwork.llm.tokens import Block, pack
+
+    rng = np.random.default_rng(1)
+    parts = [np.tile(rng.integers(0, 50, 7), 60).astype(np.uint32), rng.integers(0, 49_000, 900).astype(np.uint32), np.full(5000, 3, np.uint32), np.zeros(0, np.uint32)]
+    payload = pack([1, None, 3, 4], parts)
+    block, every = Block(payload), np.concatenate(parts)
+    assert (block.ids(0, block.n_ids) == every).all() and len(payload) < 4 * len(every)
+    for a, b in [(0, 1), (17, 423), (5000, 6000), (6319, 6320), (10, 10)]:
+        assert (block.ids(a, b) == every[a:b]).all()
+
+
+def test_op10(spark):
+    sf = "/root/testdata/sf0.01"
+    got = result(spark, sf, "op10_language")
+    truth = {d["doc_id"]: d["lang"] for d in rows(sf, "documents")}
+    assert len(got) == len(truth)
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
+    out = got[got.held_out]
+    assert (out.lang_pred == out.doc_id.map(truth)).mean() > 0.97
+    assert got.score.between(0, 1).all()
+
+
+def test_op10_edges(spark):
+    from tarnwork.llm.language import Model, predict, readable, train
+
+    docs = [(1, None, "en", 1), (2, "", None, 1), (3, "123 !?", "en", 1), (4, "the cat", "en", 1), (4, "the cat", "en", 1), (5, "é" * 70_000, None, 1), (None, "abc", None, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, score int")
+    model = train([b"the cat and the dog", "été après où".encode()] * 20, ["en", "fr"] * 20, rounds=40)
+    got = predict(frame, model).toPandas()
+    assert sorted(got.lang_pred) == sorted(["und"] * 3 + ["en"] * 3 + ["fr"]) and (got[got.lang_pred == "und"].score == 0).all()
+    assert predict(frame.limit(0), model).count() == 0
+    nobody = predict(frame.selectExpr("doc_id", "text", "cast(null as string) lang"))
+    assert {r.lang_pred for r in nobody.collect()} == {"und"}
+    assert sorted(r.doc_id or 0 for r in readable(frame).collect()) == [0, 4, 4, 5]
+    assert isinstance(model, Model)
+
+
+def test_backpropagation_is_the_gradient():
+    import numpy as np
+
+    from tarnwork.llm import language as L
+
+    rng = np.random.default_rng(0)
+    table, u = rng.normal(0, 0.5, (256, 9)).astype(np.float64), rng.normal(0, 0.5, (3, 9))
+    data, aim = rng.integers(0, 5, (6, 4)).astype(np.uint8), rng.normal(size=(6, 4, 3))
+    loss = lambda u: float((L._states(data, table, u).astype(np.float64) * aim).sum())
+    _, kept = L._states(data, table, u, keep=True)
+    grad = L._back(data, u, kept, aim, np.zeros_like(table))
+    for i, j in [(0, 0), (1, 4), (2, 8), (0, 7)]:
+        d = np.zeros_like(u)
+        d[i, j] = 1e-3
+        assert abs((loss(u + d) - loss(u - d)) / 2e-3 - grad[i, j]) < 2e-2
+
+
+def test_pipeline(spark, sf):
+    """Stage by stage against brute force; the first stage, which has no brute force, against its own verdicts."""
+    import corpus_pipeline as P
+    from tarnwork.llm import language
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = P.STAGES[0][1](spark, docs, sf).toPandas()
+    assert len(kept) >= 0.97 * docs.count()
+    assert language.readable(docs).count() == len(kept)
+    want = {g for _, g, _ in brute_groups(kept.to_dict("records"))}
+    one = P.STAGES[1][1](spark, spark.createDataFrame(kept), sf).toPandas()
+    assert sorted(one.doc_id) == sorted(want) and list(one.columns) == docs.columns
+    bad = {x[0] for x in brute_decontaminate(one.to_dict("records"), rows(sf, "benchmark")) if x[5]}
+    clean = P.STAGES[2][1](spark, spark.createDataFrame(one), sf).toPandas()
+    assert set(clean.doc_id) == set(one.doc_id) - bad and list(clean.columns) == docs.columns
+    mixed = P.STAGES[3][1](spark, spark.createDataFrame(clean), sf).toPandas()
+    sizes = defaultdict(int)
+    for d in clean.itertuples():
+        sizes[d.source] += len(re.findall(r"[^\x20\x09-\x0D]+", d.text))
+    got = defaultdict(int)
+    for d in mixed.itertuples():
+        got[d.source] += len(re.findall(r"[^\x20\x09-\x0D]+", d.text))
+    assert all(abs(got[s] - t) <= 3 for s, t in water(sizes).items()) and list(mixed.columns) == docs.columns
+    final = P.run(spark, sf).toPandas()
+    assert len(final) == len(mixed) and sorted(final.doc_id) == sorted(mixed.doc_id)
+    assert final.sort_values("start").start.tolist() == [0, *final.sort_values("start").n_tokens.cumsum().tolist()[:-1]]
