@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dart_minhash, decontaminate, language, mixture, shards, tokens
+from . import dart_minhash, decontaminate, language, mixture, shards, tokens, vectors, warc
 
 try:
     import public_tokenizers
@@ -33,10 +33,18 @@ def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_read(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.weigh(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_dart_minhash, op4_kd_shards, op5_repair_tokens, op7_decontaminate, op9_mixture, op10_language)
+    f.__name__: f for f in (op3_dart_minhash, op4_kd_shards, op5_repair_tokens, op6_warc, op7_decontaminate, op8_range_join, op9_mixture, op10_language)
 }
 
 ORACLES: dict[str, str] = {}

@@ -343,3 +343,97 @@ def test_pipeline(spark, sf):
     final = P.run(spark, sf).toPandas()
     assert len(final) == len(mixed) and sorted(final.doc_id) == sorted(mixed.doc_id)
     assert final.sort_values("start").start.tolist() == [0, *final.sort_values("start").n_tokens.cumsum().tolist()[:-1]]
+
+
+def brute_warc(pages):
+    import base64
+
+    first = {}
+    for p in pages:
+        first.setdefault(p["html"] or "", []).append(p["page_id"])
+    out = []
+    for p in pages:
+        data = (p["html"] or "").encode()
+        ids = [i for i in first[p["html"] or ""] if i is not None]
+        response = min(ids) if ids else None
+        same = p["page_id"] == response
+        out.append((p["page_id"], len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if same else "revisit", None if same else response))
+    return sorted(out, key=str)
+
+
+def plain(frame, columns):
+    return sorted([tuple(None if v is None or v != v else (int(v) if isinstance(v, float) else v) for v in r) for r in frame[columns].itertuples(index=False)], key=str)
+
+
+COLUMNS6 = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
+def test_op6(spark, sf):
+    assert plain(result(spark, sf, "op6_warc"), COLUMNS6) == brute_warc(rows(sf, "pages"))
+
+
+def test_op6_edges(spark):
+    from tarnwork.llm import warc
+
+    pages = [(1, "http://a.example/é b\nX: y", None), (2, None, ""), (5, "http://b.example/?q=1", "<p>ü</p>\r\n\r\nWARC/1.1"), (3, "http://b.example/", "<p>ü</p>\r\n\r\nWARC/1.1"), (3, "http://b.example/", "<p>ü</p>\r\n\r\nWARC/1.1"), (9, "u", "x" * 300_000), (None, "u", "y"), (None, "v", "")]
+    frame = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, kind string")
+    captures = warc.archive(frame, payloads=True)
+    got = captures.toPandas()
+    assert plain(got, COLUMNS6) == brute_warc([{"page_id": i, "html": h} for i, _, h in pages])
+    assert all(len(r) >= 1 and len(m) >= 1 for r, m in zip(got.requests, got.metadata, strict=True))
+    body = {r.page_id: r.response.payload for r in captures.filter("record_type = 'response'").collect()}
+    assert bytes(body[9]) == b"x" * 300_000 and bytes(body[3]).decode() == pages[2][2]
+    assert warc.archive(frame.limit(0)).count() == 0
+
+
+def brute_vectors(vectors, least=0.93):
+    import numpy as np
+
+    def sound(v):
+        e = v["embedding"]
+        return v["label"] is not None and e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e) and any(x != 0 for x in e)
+
+    n, root, links = len(vectors), list(range(len(vectors))), [0] * len(vectors)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    unit = [np.array(v["embedding"], float) / np.linalg.norm(np.array(v["embedding"], float)) if sound(v) else None for v in vectors]
+    for i in range(n):
+        for j in range(i):
+            if unit[i] is not None and unit[j] is not None and vectors[i]["label"] == vectors[j]["label"] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least:
+                links[i] += 1
+                links[j] += 1
+                root[find(i)] = find(j)
+    smallest = {}
+    for i in range(n):
+        smallest[find(i)] = min(smallest.get(find(i), 10**9), vectors[i]["vec_id"])
+    return sorted((v["vec_id"], links[i], smallest[find(i)], v["vec_id"] == smallest[find(i)]) for i, v in enumerate(vectors))
+
+
+COLUMNS8 = ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_op8(spark, sf):
+    got = result(spark, sf, "op8_range_join")
+    assert sorted(map(tuple, got[COLUMNS8].itertuples(index=False))) == brute_vectors(rows(sf, "embeddings"))
+
+
+def test_op8_cells(spark):
+    """Small cells and blocks, near copies around shared centres, and odd rows."""
+    import numpy as np
+
+    from tarnwork.llm.vectors import neighbours
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6))
+    data = [(i, (centres[i % 12] + rng.normal(scale=0.25, size=6)).tolist(), i % 3 if i % 3 else 1) for i in range(420)]
+    data += [(1000 + i, data[7][1], data[7][2]) for i in range(20)]
+    data += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 6, 1), (2003, [float("nan")] * 6, 1), (2004, [None] * 6, 1), (2005, [1.0, 2.0], 1), (2006, [2.0, 4.0], 1), (2007, [1.0] * 6, None), (2008, [float("inf")] * 6, 1), (2008, [1e-30] * 6, 2)]
+    frame = spark.createDataFrame([(*d, 1) for d in data], "vec_id long, embedding array<double>, label int, cls int")
+    want = brute_vectors([{"vec_id": a, "embedding": e, "label": k} for a, e, k in data])
+    got = neighbours(frame, cell=40, block=30).toPandas()
+    assert sorted(map(tuple, got[COLUMNS8].itertuples(index=False))) == want
+    assert neighbours(frame.limit(0)).count() == 0
