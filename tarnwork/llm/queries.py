@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dart_minhash, decontaminate, language, mixture, shards, tokens, vectors, warc
+from . import dart_minhash, decontaminate, language, mixture, personal, shards, tokens, toxicity, vectors, warc
 
 try:
     import public_tokenizers
@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.spans(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, group_id (smallest doc_id of its near duplicates), group_rows, kept."""
     return dart_minhash.groups(table(spark, sf_dir, "documents")).drop("text_hash")
@@ -54,7 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_dart_minhash, op4_kd_shards, op5_repair_tokens, op6_warc, op7_decontaminate, op8_range_join, op9_mixture, op10_language)
+    f.__name__: f for f in (op1_pii, op2_toxicity, op3_dart_minhash, op4_kd_shards, op5_repair_tokens, op6_warc, op7_decontaminate, op8_range_join, op9_mixture, op10_language)
 }
 
 ORACLES: dict[str, str] = {}

@@ -437,3 +437,81 @@ def test_op8_cells(spark):
     got = neighbours(frame, cell=40, block=30).toPandas()
     assert sorted(map(tuple, got[COLUMNS8].itertuples(index=False))) == want
     assert neighbours(frame.limit(0)).count() == 0
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else 2 * d - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def brute_personal(text):
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    patterns = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+    spans = sorted((m.start(), k, name, m.end()) for k, (name, (p, ok)) in enumerate(patterns.items()) for m in re.finditer(p, text) if ok(m.group()))
+    counts = [sum(s[2] == n for s in spans) for n in patterns]
+    joined = ",".join(f"{n}:{a}:{b}" for a, _, n, b in spans)
+    return *counts, hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+def check_personal(got, texts):
+    for r in got.itertuples(index=False):
+        *want, joined = brute_personal(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256] == want, texts[r.doc_id]
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def test_op1(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {d["doc_id"]: d["text"] for d in rows(sf, "documents")}
+    got = result(spark, sf, "op1_pii")
+    assert len(got) == len(texts)
+    check_personal(got, texts)
+
+
+def test_op1_edges(spark):
+    import random
+
+    from tarnwork.llm.personal import redact, spans
+
+    rng = random.Random(8)
+    pieces = ["a@b.c", "@", ".", "x_y", "1", "22", "255", "256", "0001", " ", "-", "+", "(", ")", "4111 1111 1111 1111", "é", "😀", "+1 (555) 555-0100", "10.0.0.1", "a", "%", "4111111111111111", "\n"]
+    texts = {i: "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for i in range(1500)}
+    texts |= {5000: None, 5001: "", 5002: "a" * 200_000, 5003: "1" * 200_000, 5004: "a@b" + ".c" * 50_000, 5005: "+1" + "(" * 100_000, 5006: "+1 (743) 555-3824 " * 1500, 5007: "1." * 50_000}
+    frame = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id int, text string, base string")
+    check_personal(spans(frame).toPandas(), texts)
+    loose = spark.createDataFrame([(1, "please write to jane [at] mail (dot) example or call (212) 555-0100 today"), (2, "about 100 200 300 people in version 300.1.2.999")], "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in spans(loose).collect()}
+    assert "email:" in got[1] and "phone:" in got[1] and got[2] == ""
+    assert redact(loose).filter("doc_id = 1").first().text == "please write to [EMAIL] or call [PHONE] today"
+    plan = spans(frame)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and spans(frame.limit(0)).count() == 0
+
+
+def test_op2(spark):
+    sf = "/root/testdata/sf0.01"
+    got = result(spark, sf, "op2_toxicity").set_index("doc_id")
+    assert len(got) == 1000 and got.severity.between(0, 2).all() and (got.p_grade_1 >= got.p_grade_2).all()
+    truth = pd.DataFrame(rows(sf, "labels")).set_index("doc_id").toxic
+    found = got.toxic[truth.index]
+    assert found[truth == 1].mean() > 0.9 and found[truth == 0].mean() < 0.05
+
+
+def test_op2_edges(spark):
+    from tarnwork.llm.toxicity import fit, score
+
+    docs = [(i, ("you idiot " if i % 3 == 0 else "kind words ") + f"w{i % 7}", i) for i in range(90)] + [(200, None, 1), (201, "", 1), (3, "you idiot", 1), (202, "word " * 50_000, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(90)] + [(3, None, 1), (None, 1, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
+    model = fit(frame, labels)
+    got = score(frame, model).toPandas()
+    assert len(got) == len(docs) and got[got.doc_id == 3].toxic.all() and not got[got.doc_id.isin([1, 2, 200, 201, 202])].toxic.any()
+    assert (model.borders[1:] > model.borders[:-1]).all()
+    assert score(frame, fit(frame, labels.limit(0))).filter("severity > 0").count() == 0 and score(frame.limit(0), model).count() == 0
