@@ -30,21 +30,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import ship
+from . import words as W
 from .store import new_path, partitions
 
 END, BLOCK_IDS = 1, 1 << 20
 ROUNDS, BATCH, LEAST = 8, 256, 24  # rounds of replacement, pairs in each, occurrences a pair must have
 BINS = 18  # bits of the table that counts pairs
 MAGIC = b"RPB1"
-MOST_CACHED = 400_000
-#: The tokenizer's own pre-tokens, for texts of plain Latin-1 letters and ASCII, in lower case.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+MOST_CACHED = 3_000_000  # distinct pieces a worker remembers, about 30 bytes each
+#: What keeps a text from being cut by byte rules alone: other scripts, control characters, marks of special tokens.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+SPACE, LETTER, DIGIT, SIGN = range(4)
+KIND = np.array([SPACE if c in (9, 10, 13, 32) else DIGIT if 48 <= c <= 57 else LETTER if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else SIGN for c in range(256)], np.int8)
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
+def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's own pre-tokens in usual texts: runs of letters, single digits, runs of signs, and an
+    apostrophe that begins a run of signs by itself together with s, t, re, ve, m, ll or d after it."""
+    n = len(data)
+    kind = np.full(n + 1, SPACE, np.int8)
+    kind[:n] = KIND[data]
+    new = np.ones(n + 1, bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new |= kind == DIGIT
+    new[at] = True
+    edges = np.flatnonzero(new)  # n is one of them
+    starts, ends = edges[:-1], edges[1:]
+    inked = kind[starts] != SPACE
+    starts, ends = starts[inked], ends[inked]
+    alone = np.flatnonzero((ends - starts == 1) & (data[starts] == 39))
+    alone = alone[alone + 1 < len(starts)]
+    alone = alone[(starts[alone + 1] == ends[alone]) & (kind[starts[alone + 1]] == LETTER)]
+    # A text's border between apostrophe and letters parts them.
+    alone = alone[~np.isin(ends[alone], at)] if len(alone) else alone
+    if len(alone):
+        follow = starts[alone + 1]
+        first = LOWER[data[follow]]
+        second = np.where(ends[alone + 1] - follow > 1, LOWER[data[np.minimum(follow + 1, n - 1)]], 0)
+        one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+        two = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+        some, taken = alone[one | two], np.where(one, 1, 2)[one | two]
+        ends[some] += taken
+        starts[some + 1] += taken
+        keep = starts < ends
+        starts, ends = starts[keep], ends[keep]
+    return starts, ends
 
 
 class Encoder:
-    """ids of texts. Pre-tokens are encoded by themselves, so each distinct one is encoded once and then looked up;
-    texts with anything unusual (other scripts, control characters, special tokens) are encoded whole."""
+    """ids of texts. Pre-tokens are encoded by themselves, so each distinct one is encoded once and then looked up by its
+    hash; texts with anything unusual are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,50 +89,66 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.n = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def learn(self, pieces: list[str]) -> None:
-        new = []
-        for i in range(0, len(pieces), 256):
-            part = pieces[i : i + 256]
+        self.hash, self.n, self.first, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        counts, ids = [], []
+        for i in range(0, len(pieces), 512):
+            part = pieces[i : i + 512]
             code = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            counts = np.bincount(np.array(code.word_ids, np.int64), minlength=len(part))
-            new.append((counts, np.array(code.ids, np.uint32)))
-        at = len(self.place)
-        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
-        self.n = np.concatenate([self.n, *[x[0] for x in new]])
-        self.flat = np.concatenate([self.flat, *[x[1] for x in new]])
-        self.first = np.cumsum(self.n) - self.n
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > MOST_CACHED:
+            counts.append(np.bincount(np.array(code.word_ids, np.int64), minlength=len(part)).astype(np.int32))
+            ids.append(np.array(code.ids, np.uint32))
+        n = np.concatenate(counts)
+        first = len(self.flat) + np.cumsum(n, dtype=np.int64) - n
+        where = np.searchsorted(self.hash, hashes)
+        self.hash, self.n, self.first = np.insert(self.hash, where, hashes), np.insert(self.n, where, n), np.insert(self.first, where, first)
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """texts has no null."""
+        if len(self.hash) > MOST_CACHED:
             self.clear()
         out: list[np.ndarray | None] = [None] * len(texts)
-        usual, pieces, counts = [], [], []
-        for i, text in enumerate(texts):
+        usual = np.ones(len(texts), bool)
+        for i, text in enumerate(texts.to_pylist()):
             if OTHER.search(text):
+                usual[i] = False
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                found = PIECES.findall(text.lower())
-                usual.append(i)
-                pieces += found
-                counts.append(len(found))
-        if unknown := list(set(pieces).difference(self.place)):
-            self.learn(sorted(unknown))
-        where = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        n = self.n[where]
-        ids = self.flat[np.repeat(self.first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts, dtype=np.int64)] if counts else []
-        start = 0
-        for i, end in zip(usual, ends, strict=True):
-            out[i] = ids[start:end]
-            start = end
+        own = np.flatnonzero(usual)
+        data, at = W.raw(texts.take(pa.array(own)))
+        starts, ends = cut(data, at)
+        hashes, which = np.unique(W.windows_hash(W.BYTE_VALUE[data], starts, ends, W.BASE), return_inverse=True)
+        place = np.searchsorted(self.hash, hashes)
+        known = np.zeros(len(hashes), bool)
+        if len(self.hash):
+            known = self.hash[np.minimum(place, len(self.hash) - 1)] == hashes
+        if not known.all():
+            example = np.zeros(len(hashes), np.int64)
+            example[which] = np.arange(len(which))
+            new = np.flatnonzero(~known)
+            whole = data.tobytes()
+            self.learn(hashes[new], [whole[a:b].decode().lower() for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.hash, hashes)
+        place = place[which]
+        n = self.n[place].astype(np.int64)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        ids = self.flat[np.repeat(self.first[place] - upto[:-1], n) + np.arange(upto[-1])]
+        borders = upto[np.searchsorted(starts, at)]
+        for i, a, b in zip(own.tolist(), borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            out[i] = ids[a:b]
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, so that what a task learns serves the next ones."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _no_overlap(flagged: np.ndarray) -> np.ndarray:
     """Of flagged pairs those that stay when runs of neighbours are taken from the left, every second one."""
     at = np.flatnonzero(flagged)
@@ -218,18 +270,10 @@ def write(documents: DataFrame, tokenizer: str, path: str, shards: int | None =
     bounds = np.array(_bounds(documents, shards or partitions(spark)), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
-            start = 0
-            lengths = [len(x or "") for x in batch.column(2).to_pylist()]
-            while start < batch.num_rows:
-                stop, size = start, 0
-                while stop < batch.num_rows and (stop == start or size + lengths[stop] < 1 << 20):
-                    size += lengths[stop]
-                    stop += 1
-                part = batch.slice(start, stop - start)
-                start = stop
-                codes = [np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in encoder.encode([x or "" for x in part.column(2).to_pylist()])]
+            for part in W.slices(batch):
+                codes = [np.append(x, np.uint32(end)).astype("<u4").tobytes() for x in encoder.encode(part.column(2).fill_null(""))]
                 ids = part.column(0).to_pylist()
                 shard = [0 if i is None else int(np.searchsorted(bounds, i, side="left")) for i in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), part.column(0), part.column(1), pa.array(codes, pa.binary())], ["shard", "doc_id", "tie", "ids"])
