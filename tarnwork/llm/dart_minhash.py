@@ -12,9 +12,9 @@ probability equal to their similarity. Work is linear in the elements plus k ln
 
 Joining: 32 bands of 6 coordinates; a pair at 0.8 shares no band with probability 6e-5. Texts with equal words are
 one node first, so exact copies never meet in a band. In each band bucket all members are compared with its
-smallest member (a star, so linear in the bucket); components of verified links follow; then only pairs of a
-bucket that are still in different components, and whose weights allow 0.8, are compared. Comparison is
-exact, on whole texts. No bucket is cut.
+smallest member (a star, so linear in the bucket); components of verified links follow. Then the pairs
+of a bucket that are still in different components are compared: one by one in small buckets; in large ones after
+another star, and within the bucket, in blocks. Comparison is exact, on whole texts. No bucket is cut.
 
 Texts without words and null texts have no shingles: each is a group of its own. Rows with equal doc_id
 may have different texts; each row gets its own text's group. Extra columns stay out of the result.
@@ -35,6 +35,7 @@ from .store import materialise
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
+SMALL, BLOCK = 24, 1024  # members of a bucket whose open pairs are all listed; members of a block of a larger one
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,7 +174,101 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return materialise(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), name)
 
 
-def groups(documents: DataFrame, least: float = LEAST) -> DataFrame:
+def _able(least: float):
+    return F.least("weight", "other_weight") >= F.lit(least - 1e-9) * F.greatest("weight", "other_weight")
+
+
+def _open(shared: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """The members, with root and size n, of buckets whose members are in different components."""
+    state = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = state.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.count(F.lit(1)).alias("n")).filter("_r != _s")
+    return materialise(state.join(keys.select("key", "n"), "key"), name)
+
+
+def bucket_links(table: pa.Table, least: float) -> pa.Table:
+    """A spanning forest of the links between members of a block pair that are in different components.
+
+    Members outside the commonest component are compared with all others by looking up their cells in an index of all cells.
+    """
+    nodes = np.array(table.column("node").to_pylist(), object)
+    _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+    side = table.column("side").to_numpy()
+    common = np.bincount(root).argmax()
+    parts, base = [], 0
+    for batch in table.select(["text"]).to_batches():
+        for part in W.slices(batch):
+            element, text = W.shingles(W.find_words(part.column(0)), SHINGLE)
+            cell, owner, _ = cells(element, text)
+            parts.append((cell, owner + base))
+            base += part.num_rows
+    cell, owner = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    weight = np.bincount(owner, minlength=len(nodes))
+    by_cell = np.argsort(cell)
+    index, holder = cell[by_cell], owner[by_cell]
+    by_owner = np.argsort(owner, kind="stable")
+    own_cells, first = cell[by_owner], np.concatenate([[0], np.cumsum(weight)])
+    parent, links = np.arange(root.max() + 1), []
+    # With one component at most of this block pair in common, every pair in two components has a member outside it.
+    for i in np.flatnonzero(root != common).tolist():
+        mine = own_cells[first[i] : first[i + 1]]
+        low, high = np.searchsorted(index, mine, "left"), np.searchsorted(index, mine, "right")
+        n = high - low
+        others = holder[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.bincount(others, minlength=len(nodes))
+        near = both >= least * (weight + weight[i] - both) - 1e-9
+        near &= (side != side[i]) | (side == 2)
+        for j in np.flatnonzero(near & (root != root[i])).tolist():
+            x, y = root[i], root[j]
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((i, j))
+    a, b = (np.array([x[k] for x in links], np.int64) for k in range(2))
+    return pa.table({"a": pa.array(nodes[a].tolist(), pa.binary()), "b": pa.array(nodes[b].tolist(), pa.binary())})
+
+
+def _large(rest: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+    """Links within large buckets: members go with their texts to pairs of blocks, and only forests of links come back."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = rest.select("key", "node", "root", blocks.alias("_n"), F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int").alias("_b"))
+    dealt = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    pairs = dealt.select(
+        "key", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), F.when(F.col("_b") == F.col("_x"), 2).when(F.col("_b") < F.col("_x"), 0).otherwise(1).alias("side"), "node", "root"
+    )
+    with_text = pairs.join(texts, "node")
+    return with_text.groupBy("key", "i", "j").applyInArrow(lambda t: bucket_links(t, least), "a binary, b binary")
+
+
+def _finish(shared: DataFrame, roots: DataFrame, texts: DataFrame, least: float, small: int, block: int) -> DataFrame:
+    """Compares what the first stars left open: members of a bucket that are still in different components.
+
+    In small buckets all such pairs are compared. In large ones another star joins most of what is near; members still
+    apart are then compared within the bucket, in blocks, which move each text once a block instead of once a pair.
+    """
+    ship(shared.sparkSession)
+    rest = _open(shared, roots, "minhash-rest")
+    other = rest.select("key", F.col("node").alias("other"), F.col("weight").alias("other_weight"), F.col("root").alias("other_root"))
+    seat = F.min_by(F.struct("other", "other_weight", "other_root"), F.xxhash64(F.lit(1), "other", "key"))
+    stars = other.join(rest.filter(F.col("n") > small).select("key").distinct(), "key", "left_semi").groupBy("key").agg(seat.alias("c")).select("key", "c.*")
+    apart = (F.col("root") != F.col("other_root")) & _able(least)
+    names = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    few = rest.filter(F.col("n") <= small)
+    small_pairs = few.join(other.join(few.select("key").distinct(), "key", "left_semi"), "key").filter(apart & (F.col("node") < F.col("other"))).select(*names)
+    star_pairs = rest.join(stars, "key").filter(apart).select(*names)
+    links = materialise(_similar(small_pairs.unionByName(star_pairs).distinct(), texts, least), "minhash-more")
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not links.isEmpty():
+        roots = components(links.unionByName(known), "minhash-roots")
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    rest = _open(shared.join(rest.filter(F.col("n") > small).select("key").distinct(), "key", "left_semi"), roots, "minhash-rest")
+    links = materialise(_large(rest, texts, least, block), "minhash-large")
+    return roots if links.isEmpty() else components(links.unionByName(known), "minhash-roots")
+
+
+def groups(documents: DataFrame, least: float = LEAST, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, group_id (smallest doc_id of its group), group_rows, kept, and text_hash.
 
     kept: the row has the group's smallest (doc_id, text hash); rows repeated in full are all marked.
@@ -195,17 +290,7 @@ def groups(documents: DataFrame, least: float = LEAST) -> DataFrame:
     able = F.least("weight", "center_weight") >= F.lit(least - 1e-9) * F.greatest("weight", "center_weight")
     links = materialise(_similar(stars.filter(able).select(F.col("center").alias("a"), F.col("node").alias("b")), texts, least), "minhash-links")
     roots = components(links, "minhash-roots")
-    # What the stars left open: bucket members still in different components.
-    state = shared.select("key", "node", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = state.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r != _s").select("key")
-    rest = materialise(state.join(mixed, "key"), "minhash-rest")
-    left, right = rest.select("key", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("root").alias("ra")), rest.select("key", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("root").alias("rb"))
-    open_ = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("wa", "wb") >= F.lit(least - 1e-9) * F.greatest("wa", "wb")))
-    done = stars.select(F.col("center").alias("a"), F.col("node").alias("b"))
-    open_ = open_.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    more = materialise(_similar(open_, texts, least), "minhash-more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more), "minhash-roots")
+    roots = _finish(shared, roots, texts, least, small, block)
     placed = signed.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k"), F.count(F.lit(1)).alias("_n"))
     out = placed.join(smallest, "root", "left")

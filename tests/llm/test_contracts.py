@@ -207,12 +207,32 @@ def test_op3_edges(spark):
     frame = spark.createDataFrame([(a, t, a) for a, t in docs], "doc_id long, text string, node long")
     got = groups(frame).toPandas()
     assert sorted(zip(got.doc_id, got.group_id, got.group_rows, strict=True)) == brute_groups([{"doc_id": a, "text": t} for a, t in docs])
+    crowd = groups(frame, small=3, block=7).toPandas()
+    assert sorted(zip(crowd.doc_id, crowd.group_id, strict=True)) == sorted(zip(got.doc_id, got.group_id, strict=True))
     kept = one_of_each(frame).toPandas()
     assert sorted(kept.doc_id) == [1, 2, 3, 4, 6, 100, 200, 202]
     assert list(kept.columns) == frame.columns
     assert groups(frame.limit(0)).count() == 0
 
 
+def test_op3_outliers(spark):
+    """A family in which many members are near only some of the others, in large buckets."""
+    import random
+
+    from tarnwork.llm.dart_minhash import groups
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 8])):
+            words[rng.randrange(150)] = f"y{rng.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    got = groups(spark.createDataFrame(docs, "doc_id long, text string"), small=4, block=40).toPandas()
+    assert sorted(zip(got.doc_id, got.group_id, got.group_rows, strict=True)) == brute_groups([{"doc_id": a, "text": t} for a, t in docs])
+
+
 def test_darts_estimate_weighted_similarity():
     import numpy as np
 
