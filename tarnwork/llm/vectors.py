@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ship
@@ -42,13 +42,17 @@ def _pivots(classes: DataFrame, cell: int) -> dict[tuple, np.ndarray]:
     """Pivots of labels that have more than one cell's classes: those with the smallest hash, at most MOST_PIVOTS in all."""
     large = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell)
     large = large.orderBy(F.col("n").desc(), "label").limit(MOST_PIVOTS // 2).collect()
+    if not large:
+        return {}
     total = sum(r.n for r in large)
-    found = {}
-    for r in large:
-        k = max(2, min(-(-r.n // cell), int(MOST_PIVOTS * r.n / total)))
-        own = classes.filter((F.col("label") == r.label) & (F.col("dim") == r.dim)).orderBy(F.xxhash64(F.lit(3), "cls")).limit(k)
-        found[(r.label, r.dim)] = unit(pa.array([x.embedding for x in own.collect()]))
-    return found
+    wanted = {(r.label, r.dim): max(2, min(-(-r.n // cell), int(MOST_PIVOTS * r.n / total))) for r in large}
+    sizes = classes.sparkSession.createDataFrame([(label, dim, k) for (label, dim), k in wanted.items()], f"label {classes.schema['label'].dataType.simpleString()}, dim int, k int")
+    place = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64(F.lit(3), "cls"), "cls"))
+    own = classes.join(F.broadcast(sizes), ["label", "dim"]).withColumn("_r", place).filter(F.col("_r") <= max(wanted.values())).filter("_r <= k")  # at most MOST_PIVOTS / 2 sizes
+    found: dict[tuple, list] = {}
+    for r in own.select("label", "dim", "embedding").collect():
+        found.setdefault((r.label, r.dim), []).append(r.embedding)
+    return {k: unit(pa.array(v)) for k, v in found.items()}
 
 
 def _cells(classes: DataFrame, pivots: dict[tuple, np.ndarray], reach: float) -> DataFrame:
