@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 WEIGHTS, EPOCHS, SEED = (5.0, 2.0, 1.0), 3, 17
-BITS = 15  # of the hash in each narrowing step
+BITS = 12  # of the hash in each narrowing step
 MOST_SOURCES = 200_000
 SIZE = r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"
 
@@ -30,8 +30,8 @@ def sizes(documents: DataFrame) -> DataFrame:
     """source, size and the seeded hash of each row; the hash is not negative and has 60 bits."""
     return documents.withColumns(
         {
-            "_size": F.coalesce(F.expr(SIZE), F.lit(0)).cast("long"),
-            "_hash": F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), 4),
+            "_mix_size": F.coalesce(F.expr(SIZE), F.lit(0)).cast("long"),
+            "_mix_hash": F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), 4),
         }
     )
 
@@ -57,7 +57,7 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs:
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """One row per source: source_size, target, whole repetitions, and where in hash order the rest ends."""
-    small = materialise(rows.select("source", F.col("_size").alias("size"), F.col("_hash").alias("hash")), "mixture-rows")
+    small = materialise(rows.select("source", F.col("_mix_size").alias("size"), F.col("_mix_hash").alias("hash")), "mixture-rows")
     by_source = materialise(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "mixture-sources")
     rest = by_source.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     rest = rest.withColumn("left", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
@@ -65,7 +65,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EP
     for step in range(1, 60 // BITS + 1):
         shift = 60 - BITS * step
         # Rows of the bin at the cut, split by the next bits: at most 2**BITS sums a source.
-        here = small.join(F.broadcast(state), small["source"].eqNullSafe(state["source"]) & (F.shiftright("hash", shift + BITS) == F.col("bin"))).drop(state["source"])
+        here = small.join(_bounded(state), small["source"].eqNullSafe(state["source"]) & (F.shiftright("hash", shift + BITS) == F.col("bin"))).drop(state["source"])
         bins = here.groupBy("source", F.shiftright("hash", shift).alias("next"), "left").agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("source").orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cut = bins.withColumn("_upto", F.sum("n").over(upto)).filter(F.col("_upto") > F.col("left"))
@@ -89,25 +89,25 @@ def taken(size: Column, whole: Column, hashed: Column, cut: Column, share: Colum
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """The documents' columns with _size, source_size, target and _taken, one row per document."""
+    """The documents' columns with _mix_size, _mix_source_size, _mix_target and _mix_taken, one row per document."""
     rows = sizes(documents)
     by_source = plan(rows, weights, epochs)
-    named = _bounded(by_source.withColumnRenamed("source", "_source"))
-    joined = rows.join(named, rows["source"].eqNullSafe(named["_source"]), "left").drop("_source")
-    return joined.withColumn("_taken", taken(F.col("_size"), F.col("whole"), F.col("_hash"), F.col("cut"), F.col("share")))
+    named = _bounded(by_source.select(*[F.col(c).alias(f"_mix_{c}") for c in by_source.columns]))
+    joined = rows.join(named, rows["source"].eqNullSafe(named["_mix_source"]), "left")
+    return joined.withColumn("_mix_taken", taken(*[F.col(f"_mix_{c}") for c in ("size", "whole", "hash", "cut", "share")]))
 
 
 def weigh(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    return mix(documents.select("doc_id", "text", "source")).select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
+    return mix(documents.select("doc_id", "text", "source")).select("doc_id", *[F.col(f"_mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 def repeat(documents: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as it is taken; the fractional repetition holds its first words."""
     mixed = mix(documents)
-    times = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
-    many = mixed.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    short = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    text = F.when(short < F.col("_size"), F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), short.cast("string"), F.lit("}+")), F.lit(0))).otherwise(F.col("text"))
-    columns = {"text": text} | ({"n_chars": F.when(short < F.col("_size"), F.length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    times = F.when(F.col("_mix_size") > 0, F.ceil(F.col("_mix_taken") / F.col("_mix_size"))).otherwise(0).cast("int")
+    many = mixed.withColumn("_mix_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    short = F.col("_mix_taken") - (F.col("_mix_copy") - 1) * F.col("_mix_size")
+    text = F.when(short < F.col("_mix_size"), F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), short.cast("string"), F.lit("}+")), F.lit(0))).otherwise(F.col("text"))
+    columns = {"text": text} | ({"n_chars": F.when(short < F.col("_mix_size"), F.length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
     return many.withColumns(columns).select(*documents.columns)
