@@ -305,7 +305,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents' columns, with one row of each group."""
     found = groups(documents)
     gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct(), "minhash-gone")
-    keyed = documents.withColumn("_x", F.xxhash64("text"))
-    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_i"]) & (keyed["_x"] == gone["_h"]), "left_anti").drop("_x")
+    keyed = documents.withColumn("_tarnwork_x", F.xxhash64("text"))
+    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_i"]) & (keyed["_tarnwork_x"] == gone["_h"]), "left_anti").drop("_tarnwork_x")
     repeated = found.filter("kept and group_rows > 1").groupBy("doc_id", "text_hash").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -208,7 +208,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Removals are looked up by (doc_id, text hash): equal texts have equal verdicts, so repeated ids are safe.
     """
-    keyed = documents.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    verdict = contamination(keyed.select(F.col("_h").alias("doc_id"), "text"), benchmark)
-    bad = verdict.filter("contaminated").select(F.col("doc_id").alias("_h")).distinct()
-    return keyed.join(bad, "_h", "left_anti").select(*documents.columns)
+    keyed = documents.withColumn("_tarnwork_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    verdict = contamination(keyed.select(F.col("_tarnwork_h").alias("doc_id"), "text"), benchmark)
+    bad = verdict.filter("contaminated").select(F.col("doc_id").alias("_tarnwork_h")).distinct()
+    return keyed.join(bad, "_tarnwork_h", "left_anti").select(*documents.columns)

@@ -220,7 +220,7 @@ def readable(documents: DataFrame, least: float = 0.3) -> DataFrame:
 
     The whole texts stay in the JVM; only verdicts by (doc_id, text hash) of the few rejects are looked up.
     """
-    found = judge(documents.withColumn("_h", F.xxhash64("text")), fit(documents), ["_h"])
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("_h").distinct()
-    keyed = documents.withColumn("_h", F.xxhash64("text"))
-    return keyed.join(bad, "_h", "left_anti").select(*documents.columns)
+    found = judge(documents.withColumn("_tarnwork_h", F.xxhash64("text")), fit(documents), ["_tarnwork_h"])
+    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("_tarnwork_h").distinct()
+    keyed = documents.withColumn("_tarnwork_h", F.xxhash64("text"))
+    return keyed.join(bad, "_tarnwork_h", "left_anti").select(*documents.columns)

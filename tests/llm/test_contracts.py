@@ -337,6 +337,21 @@ def test_backpropagation_is_the_gradient():
         assert abs((loss(u + d) - loss(u - d)) / 2e-3 - grad[i, j]) < 2e-2
 
 
+def test_stages_keep_odd_columns(spark, sf):
+    """Null ids, sources and texts, repeated rows, and columns named like the operators' own."""
+    import corpus_pipeline as P
+
+    rows_ = [(1, "the cat sat on the mat again today", "en", "a", 1, "k"), (1, "the cat sat on the mat again today", "en", "a", 1, "k"), (None, "another quite different text with words", None, None, 2, "l"), (3, None, "en", "b", None, "m"), (4, "", None, "b", 3, "n"), (5, "short", "fr", None, 4, "o")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _h string, size int, hash int, key int, node int, target int, row int, _x int, shard int"
+    docs = spark.createDataFrame([(*r, *[7] * 8) for r in rows_], names)
+    for _, stage in P.STAGES[:4]:
+        for frame in (docs, docs.limit(0)):
+            got = stage(spark, frame, sf)
+            assert got.columns == docs.columns
+            assert {r._h for r in got.collect()} <= set("klmno")
+    assert P.STAGES[4][1](spark, docs, sf).count() == len(rows_)
+
+
 def test_pipeline(spark, sf):
     """Stage by stage against brute force; the first stage, which has no brute force, against its own verdicts."""
     import corpus_pipeline as P
