@@ -155,10 +155,14 @@ def components(links: DataFrame, name: str) -> DataFrame:
     Alternates large-star and small-star steps: each step links neighbours to their smallest one, so the number
     of rounds grows with the logarithm of a component's size and no node gathers all of its component.
     """
-    fingerprint = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
+
+    def stars(e: DataFrame) -> bool:
+        """Whether every node has one neighbour below it and that neighbour has none: nothing is left to join."""
+        bad = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("m")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("m")).distinct())
+        return bad.groupBy("u").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > 1 or (n > 0 and m > 0)").isEmpty()
+
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
-    mark = fingerprint(edges)
-    while True:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -166,10 +170,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         small = pairs.select("v", "m").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        edges, before, mark = small, mark, fingerprint(small)
-        if mark == before:
-            break
+        edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return materialise(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), name)
 
