@@ -35,8 +35,9 @@ def priority_isolation(df: DataFrame, position: str, rank: Column) -> DataFrame:
 
 def shingles(df: DataFrame, ident: str, text: str, n: int = 8) -> DataFrame:
     """(ident, position): the distinct runs of n words between white space."""
-    words = F.split(F.col(text), r"\s+")
-    runs = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(n)))))
+    # The words are bound as a lambda's variable: inside the inner one a column would be split again for every run.
+    hashed = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(n)))))
+    runs = F.element_at(F.transform(F.array(F.split(F.col(text), r"\s+")), hashed), 1)
     return df.select(ident, F.explode(F.array_distinct(runs)).alias("position"))
 
 
