@@ -17,6 +17,8 @@ results; extra columns stay out of the result.
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +32,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: (kind, pattern, guard: text without it has no match)
-BASE = ((0, EMAIL, "@"), (1, IP, "."), (2, CARD, None), (3, PHONE, "+"))
+TWO_DIGITS = r"[0-9]{2}"
+#: (kind, pattern, guard: literals; text without any of them has no match, or a pattern that each match contains)
+BASE = ((0, EMAIL, ("@",)), (1, IP, (".",)), (2, CARD, r"[0-9][\x20-]?[0-9]"), (3, PHONE, ("+",)))
 LOOSE = (
-    (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]++)++", "at"),
-    (1, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", ":"),
-    (3, r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])", None),
+    (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]++)++", ("at", "AT")),
+    (1, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", (":",)),
+    (3, r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])", TWO_DIGITS),
 )
 OCTETS = r"^" + r"\.".join([r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"] * 4) + r"$"
 #: Context words that go before each kind's values; fixed values.
@@ -50,7 +53,7 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _matches(text: Column, kind: int, pattern: str, guard: str | None, base: bool) -> Column:
+def _matches(text: Column, kind: int, pattern: str, guard: str | tuple[str, ...], base: bool) -> Column:
     """The non-overlapping matches with their places and context: lengths of what lies between them give the places.
 
     Sums run in blocks, so work is linear in the number of matches.
@@ -83,7 +86,7 @@ def _matches(text: Column, kind: int, pattern: str, guard: str | None, base: boo
         return F.transform(triples, lambda x: piece(x["m"], x["b"], x["a"]))
 
     pieces = _let(F.struct(found.alias("m"), gaps.alias("g")), paired)
-    there = text.rlike("[0-9]{2}") if guard is None else text.contains(guard)
+    there = text.rlike(guard) if isinstance(guard, str) else reduce(or_, map(text.contains, guard))
     return F.when(there & text.rlike(pattern), _let(pieces, in_blocks)).otherwise(none)
 
 

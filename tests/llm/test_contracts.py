@@ -533,6 +533,16 @@ def test_op1_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan and spans(frame.limit(0)).count() == 0
 
 
+def test_op1_guards(spark):
+    from tarnwork.llm.personal import spans
+
+    texts = {1: "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", 2: "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", 3: "WRITE TO JANE [AT] MAIL [DOT] ORG TODAY", 4: "4--1-1"}
+    got = spans(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).toPandas()
+    check_personal(got, texts)
+    assert dict(zip(got.doc_id, got.n_card, strict=True)) == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert got[got.doc_id == 3].spans.item() == "email:9:33"
+
+
 def test_op2(spark):
     sf = "/root/testdata/sf0.01"
     got = result(spark, sf, "op2_toxicity").set_index("doc_id")
