@@ -61,6 +61,8 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EP
     by_source = materialise(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "mixture-sources")
     rest = by_source.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     rest = rest.withColumn("left", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    up = (F.col("source_size") > 0) & (F.col("left") >= F.col("source_size"))  # a rest rounded up to the source is one more whole repetition
+    rest = rest.withColumns({"whole": F.when(up, F.col("whole") + 1).otherwise(F.col("whole")), "left": F.when(up, F.lit(0).cast("long")).otherwise(F.col("left"))})
     state = rest.select("source", "left", F.lit(0).cast("long").alias("bin"))
     for step in range(1, 60 // BITS + 1):
         shift = 60 - BITS * step
@@ -83,7 +85,7 @@ def _bounded(by_source: DataFrame) -> DataFrame:
 
 
 def taken(size: Column, whole: Column, hashed: Column, cut: Column, share: Column) -> Column:
-    """Words taken of a row. A source without a cut uses up whatever is left (whole repetitions alone meet its target)."""
+    """Words taken of a row. A source without a cut has no words."""
     more = F.when(cut.isNull(), F.lit(0)).when(hashed < cut, size).when(hashed == cut, F.round(size * share)).otherwise(0)
     return (whole * size + more).cast("long")
 

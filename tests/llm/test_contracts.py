@@ -157,6 +157,18 @@ def test_op9_edges(spark):
     assert list(mixed.columns) == frame.columns
 
 
+def test_op9_rest_rounds_to_the_source(spark):
+    from tarnwork.llm.mixture import repeat, weigh
+
+    docs = [{"doc_id": i, "text": "two words", "source": "a" if i < 4 else "b"} for i in range(11)]
+    frame = spark.createDataFrame([(d["doc_id"], d["text"], d["source"]) for d in docs], "doc_id long, text string, source string")
+    got = weigh(frame).toPandas()
+    check_mixture(got, docs)
+    a = got[got.doc_id < 4]
+    assert (a.target - 22 * 5 / 7).abs().max() < 1e-9 and a.taken.tolist() == [4] * 4
+    assert repeat(frame).filter("source = 'a'").count() == 8
+
+
 def shingle_bag(text):
     from collections import Counter
 
