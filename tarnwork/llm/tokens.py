@@ -4,13 +4,14 @@ Texts are encoded with a public tokenizer; each document ends with an end id. Sh
 ascending order (null first; repeated ids by a hash of their text), each cut into blocks of about
 ``BLOCK_IDS`` ids. A block is one binary payload:
 
-    magic "RPB1", then five unsigned 32-bit counts: documents, ids, rules, symbols, first nonterminal
+    magic "RPB2", then five unsigned 32-bit counts: documents, ids, rules, symbols, first nonterminal
     documents: doc_id (signed 64-bit), null flag (1 byte), number of ids (64-bit)
-    rules: left and right symbol (unsigned 32-bit each), expansion length (unsigned 32-bit)
-    symbols: the sequence (unsigned 16-bit where all symbols fit, else 32-bit)
+    rules: all left symbols and then all right ones, expansion lengths (unsigned 32-bit each)
+    symbols: the sequence (unsigned 32-bit)
 
-The grammar replaces frequent neighbours by nonterminals, again and again. Each round replaces a batch of the
-most frequent pairs at once, left to right without overlap, until no pair is frequent. Expansion lengths let
+Of unsigned 32-bit numbers all low halves are stored before all high ones. The grammar replaces repeated neighbours
+by nonterminals, again and again. Each round replaces all pairs above a falling bar at once; of pairs that overlap the
+more frequent one goes first. It ends when no pair is there twice without overlap. Expansion lengths let
 ``Block.ids(start, end)`` decode any stretch without the rest. Payloads are kept as rows of a Parquet table
 (shard, block, n_ids, payload) in the shared folder, so writing is atomic and any file system will do.
 
@@ -34,9 +35,10 @@ from . import words as W
 from .store import new_path, partitions
 
 END, BLOCK_IDS = 1, 1 << 20
-ROUNDS, BATCH, LEAST = 8, 256, 24  # rounds of replacement, pairs in each, occurrences a pair must have
-BINS = 18  # bits of the table that counts pairs
-MAGIC = b"RPB1"
+LEAST, FALL = 2, 0.5  # occurrences a pair must have at last, and how much lower each round's bar is
+BINS = 20  # bits of the tables that count pairs
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+MAGIC = b"RPB2"
 MOST_CACHED = 3_000_000  # distinct pieces a worker remembers, about 30 bytes each
 #: What keeps a text from being cut by byte rules alone: other scripts, control characters, marks of special tokens.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
@@ -161,52 +163,67 @@ def _no_overlap(flagged: np.ndarray) -> np.ndarray:
 
 
 def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols, rules (pairs) and the first nonterminal."""
+    """Symbols, rules (pairs) and the first nonterminal. No pair of symbols is left ``LEAST`` times without overlap."""
     first = int(ids.max(initial=0)) + 1
-    symbols, rules = ids.astype(np.int64), []
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 * LEAST:
-            break
+    symbols, rules, n_rules, bar = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], 0, None
+    while len(symbols) > 1:
         pairs = (symbols[:-1] << 32) | symbols[1:]
-        bins = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BINS)).astype(np.int64)
-        counts = np.bincount(bins, minlength=1 << BINS)
-        bar = max(LEAST, int(np.partition(counts, -BATCH)[-BATCH]))
-        near = pairs[(counts >= bar)[bins]]
-        keys, n = np.unique(near, return_counts=True)
-        best = np.lexsort((keys, -n))[:BATCH]
-        chosen = np.sort(keys[best[n[best] >= LEAST]])
-        if not len(chosen):
-            break
-        at = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1) if len(pairs) < 4096 else None
-        if at is None:
-            hot = np.flatnonzero((counts >= bar)[bins])
-            at = np.minimum(np.searchsorted(chosen, pairs[hot]), len(chosen) - 1)
-            good = chosen[at] == pairs[hot]
-            flagged = np.zeros(len(pairs), bool)
-            flagged[hot[good]] = True
-        else:
-            flagged = chosen[at] == pairs
-        place = _no_overlap(flagged)
-        name = first + len(rules) + np.searchsorted(chosen, pairs[place])
-        rules += [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in chosen]
-        symbols[place] = name
+        same = symbols[:-1] == symbols[1:]
+        apart = ~same
+        apart[_no_overlap(same)] = True  # of a run of one symbol every second pair counts
+        at = np.flatnonzero(apart)
+        for k in MIX:  # rare pairs go before the rest is sorted
+            bins = ((pairs[at].view(np.uint64) * k) >> np.uint64(64 - BINS)).astype(np.int64)
+            counts = np.bincount(bins, minlength=1 << BINS)
+            bar = max(LEAST, int(counts.max() * FALL)) if bar is None else bar
+            at = at[(counts >= bar)[bins]]
+        keys, which, n = np.unique(pairs[at], return_inverse=True, return_counts=True)
+        # More frequent pairs go first, equal ones in hash order, else an ascending passage would fall one pair a round.
+        rank = np.empty(len(keys), np.int64)
+        rank[np.lexsort((keys.view(np.uint64) * MIX[0], n))] = np.arange(len(keys))
+        rank[n < bar] = -1
+        place = np.full(len(pairs) + 2, -1, np.int64)
+        place[at + 1] = own = rank[which]
+        won = (own >= 0) & (own > place[at]) & (own > place[at + 2])
+        good = np.bincount(which[won], minlength=len(keys)) >= LEAST
+        if not good.any():
+            if bar == LEAST:
+                break
+            bar = max(LEAST, int(bar * FALL))
+            continue
+        won &= good[which]
+        chosen = keys[good]
+        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
+        symbols[at[won]] = first + n_rules + (np.cumsum(good) - 1)[which[won]]
+        n_rules += len(chosen)
         keep = np.ones(len(symbols), bool)
-        keep[place + 1] = False
+        keep[at[won] + 1] = False
         symbols = symbols[keep]
-    return symbols, np.array(rules, np.int64).reshape(-1, 2), first
+        bar = max(LEAST, int(bar * FALL))
+    return symbols, np.concatenate(rules), first
+
+
+def _halves(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as all their low 16 bits, then all their high ones, which compress well."""
+    return x.astype("<u4").reshape(-1, 1).view("<u2").T.tobytes()
+
+
+def _whole(payload: bytes, n: int, at: int) -> np.ndarray:
+    low, high = np.frombuffer(payload, "<u2", 2 * n, at).reshape(2, n)
+    return low | high.astype("<u4") << 16
 
 
 def pack(doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
     ids = np.concatenate(parts)
     symbols, rules, first = repair(ids)
-    lengths = np.ones(len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1)
+    side = np.where(rules < first, len(rules), rules - first)
+    lengths, before = np.ones(len(rules) + 1, np.int64), None
+    while before is None or (lengths != before).any():  # as often as rules are nested
+        before, lengths = lengths, np.append(lengths[side].sum(1), 1)
     docs = np.zeros(len(parts), [("id", "<i8"), ("null", "u1"), ("n", "<i8")])
     docs["id"], docs["null"], docs["n"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids], [len(p) for p in parts]
-    wide = first + len(rules) > 1 << 16
     head = MAGIC + struct.pack("<5I", len(parts), len(ids), len(rules), len(symbols), first)
-    return head + docs.tobytes() + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + symbols.astype("<u4" if wide else "<u2").tobytes()
+    return head + docs.tobytes() + _halves(rules.T.ravel()) + _halves(lengths[:-1]) + _halves(symbols)
 
 
 class Block:
@@ -220,36 +237,36 @@ class Block:
         kind = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<i8")])
         self.docs = np.frombuffer(payload, kind, n_docs, at)
         at += n_docs * kind.itemsize
-        self.rules = np.frombuffer(payload, "<u4", 2 * n_rules, at).reshape(-1, 2)
+        self.rules = _whole(payload, 2 * n_rules, at).reshape(2, n_rules).T
         at += 8 * n_rules
-        self.lengths = np.frombuffer(payload, "<u4", n_rules, at)
+        self.lengths = _whole(payload, n_rules, at)
         at += 4 * n_rules
-        self.symbols = np.frombuffer(payload, "<u4" if self.first + n_rules > 1 << 16 else "<u2", n_symbols, at)
+        self.symbols = _whole(payload, n_symbols, at)
         self._ends: np.ndarray | None = None
 
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first
+        out[rule] = self.lengths[symbols[rule] - self.first]
+        return out
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        while len(symbols):
+        symbols, n = symbols.astype(np.int64), self.sizes(symbols)
+        at, out = np.cumsum(n) - n, np.empty(int(n.sum()), "<u4")
+        while len(symbols):  # ids go to their places; sides of rules wait for the next turn
             rule = symbols >= self.first
-            if not rule.any():
-                break
-            places = np.cumsum(1 + rule) - 1 - rule
-            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
-            pair = self.rules[symbols[rule] - self.first]
-            out[places[~rule]] = symbols[~rule]
-            out[places[rule]], out[places[rule] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols.astype("<u4")
+            out[at[~rule]] = symbols[~rule]
+            pair, at = self.rules[symbols[rule] - self.first].astype(np.int64), at[rule]
+            symbols, at = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([at, at + self.sizes(pair[:, 0])])
+        return out
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """ids start to end: only symbols that reach into this stretch are expanded."""
         if end <= start:
             return np.zeros(0, "<u4")
         if self._ends is None:
-            symbols = self.symbols.astype(np.int64)
-            lengths = np.ones(len(symbols), np.int64)
-            lengths[symbols >= self.first] = self.lengths[symbols[symbols >= self.first] - self.first]
-            self._ends = np.cumsum(lengths)
+            self._ends = np.cumsum(self.sizes(self.symbols))
         a, b = np.searchsorted(self._ends, start, side="right"), np.searchsorted(self._ends, end, side="left") + 1
         before = int(self._ends[a - 1]) if a else 0
         return self.expand(self.symbols[a:b])[start - before : end - before]

@@ -306,6 +306,25 @@ def test_repair_random_access():
         assert (block.ids(a, b) == every[a:b]).all()
 
 
+@pytest.mark.parametrize("kind", ["short", "many rules", "ascending", "run", "none"])
+def test_repair_leaves_no_pair_twice(kind):
+    import numpy as np
+
+    from tarnwork.llm.tokens import Block, pack
+
+    rng = np.random.default_rng(2)
+    made = {"short": np.tile([5, 6, 7], 4), "many rules": np.tile(rng.integers(0, 49_000, 6_000), 3), "ascending": np.tile(np.arange(20_000), 2), "run": np.full(999, 4), "none": np.arange(50)}
+    ids = made[kind].astype(np.uint32)
+    block = Block(pack([1], [ids]))
+    assert (block.ids(0, len(ids)) == ids).all() and (block.ids(1, len(ids) - 1) == ids[1:-1]).all()
+    last, places = {}, defaultdict(int)
+    for i, pair in enumerate(zip(block.symbols.tolist(), block.symbols[1:].tolist(), strict=False)):
+        if last.get(pair) != i - 1:
+            last[pair], places[pair] = i, places[pair] + 1
+    assert max(places.values(), default=0) < 2
+    assert len(block.rules) == 0 if kind == "none" else len(block.symbols) + 2 * len(block.rules) <= len(ids)
+
+
 def test_op10(spark):
     sf = "/root/testdata/sf0.01"
     got = result(spark, sf, "op10_language")
