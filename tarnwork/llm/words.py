@@ -6,6 +6,7 @@ that is a rule on single bytes, so numpy finds all words of a batch at once.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_lower = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64)
-BYTE_VALUE = mix((_lower + np.uint64(1)) * np.uint64(STEP))
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+FILL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a word of eight
+FOLD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+LONG = 4096  # bytes of the longest run that is hashed eight bytes a step
+
+
+def eights(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list]:
+    """A hash of each run of bytes, scrambled after every eight of them, so that no rule on the bytes makes two runs meet; and
+    the runs' words of eight bytes: of all runs the first, then (which runs, their next words). data ends with eight more bytes."""
+    eight = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,))
+    first = eight[starts] & FILL[np.minimum(lengths, 8)]
+    h = mix(first ^ (lengths.astype(np.uint64) * FOLD[0]))
+    words, some, at = [first], np.flatnonzero(lengths > 8), 8
+    while len(some):
+        word = eight[starts[some] + at] & FILL[np.minimum(lengths[some] - at, 8)]
+        h[some] = mix((h[some] + FOLD[1]) ^ word)
+        words.append((some, word))
+        at += 8
+        some = some[lengths[some] > at]
+    return h, words
+
+
+def runs_hash(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash of ``eights``; of runs longer than ``LONG`` the start of a BLAKE2b digest."""
+    out, long = np.empty(len(starts), np.uint64), np.flatnonzero(lengths > LONG)
+    short = np.flatnonzero(lengths <= LONG) if len(long) else slice(None)
+    out[short] = eights(data, starts[short], lengths[short])[0]
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + lengths[i]], digest_size=8).digest(), "little")
+    return out
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -65,6 +96,20 @@ class Words:
     hash: np.ndarray  # of each word
     first: np.ndarray  # for each text its first word's index; one more at the end
     n_texts: int
+    low: np.ndarray  # all bytes in lower case, and eight more
+    starts: np.ndarray  # of each word
+    ends: np.ndarray
+
+    def plain(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words' bytes with a space after each, and where each word begins; one more at the end."""
+        n = self.ends - self.starts
+        upto = np.cumsum(n)
+        at = np.concatenate([[0], upto + np.arange(1, len(n) + 1)])
+        out = np.full(at[-1], 32, np.uint8)
+        which = np.repeat(np.arange(len(n)), n)
+        byte = np.arange(len(which))
+        out[byte + which] = self.low[byte + (self.starts - (upto - n))[which]]
+        return out, at
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_texts), np.diff(self.first))
@@ -110,8 +155,9 @@ def find_words(texts: pa.Array) -> Words:
     after = inside.copy()
     after[at[1:]] = False
     ends = np.flatnonzero(ends_here & ~after)
-    values = windows_hash(BYTE_VALUE[data], starts, ends, BASE)
-    return Words(values, np.searchsorted(starts, at), len(texts))
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = LOWER[data]
+    return Words(runs_hash(low, starts, ends - starts), np.searchsorted(starts, at), len(texts), low, starts, ends)
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -292,15 +292,62 @@ def test_op5_edges(spark):
     assert encode_and_read(ties.limit(0), Q.TOKENIZER).count() == 0
 
 
+def thue_morse(letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1024))
+
+
+def test_op5_words_of_equal_hash(spark):
+    """Words that collide under every polynomial hash modulo 2**64, and pieces around the length that is looked up."""
+    from tarnwork.llm.tokens import encode_and_read
+
+    words_ = [thue_morse("ab"), thue_morse("ba"), *["x" * n for n in (7, 8, 9, 16, 17, 63, 64, 65, 200)], *["ab" * n + "c" for n in (3, 4, 8, 32)]]
+    docs = [(i, t) for i, t in enumerate([*words_, " ".join(words_), " ".join(reversed(words_))])]
+    got = encode_and_read(spark.createDataFrame(docs, "doc_id long, text string"), Q.TOKENIZER).toPandas()[COLUMNS5].sort_values("start")
+    assert list(map(tuple, got.itertuples(index=False))) == brute_tokens([{"doc_id": i, "text": t} for i, t in docs])
+
+
+def test_op5_pieces_of_equal_hash(monkeypatch):
+    """A hash without any use: every find has to be settled by the pieces' bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tarnwork.llm import tokens as T
+
+    text = "one two three seventeenletters seventeenwhatever thirty one two " + " ".join(f"w{i} longerword{i}" for i in range(40))
+    want = T.Encoder(Q.TOKENIZER).tokenizer.encode(text, add_special_tokens=False).ids
+    own = T.Encoder(Q.TOKENIZER)
+    keys = T.Pieces.keys
+    monkeypatch.setattr(T.Pieces, "keys", lambda *a: (keys(*a)[0] & np.uint64(3 << 62), keys(*a)[1]))
+    for _ in range(2):
+        assert own.encode(pa.array([text, "", text]))[2].tolist() == want
+
+
+def test_op5_shards_and_single_documents(spark, sf):
+    """Shards far smaller than the table, read whole and document by document."""
+    from tarnwork.llm.store import new_path
+    from tarnwork.llm.tokens import encoder_of, fetch, read, write
+
+    documents = rows(sf, "documents")
+    path = new_path(spark, "test-shards")
+    write(spark.read.parquet(f"{sf}/documents.parquet"), Q.TOKENIZER, path, shard_ids=3_000)
+    assert spark.read.parquet(path).count() > 20
+    got = read(spark, path).toPandas()[COLUMNS5].sort_values("start")
+    assert list(map(tuple, got.itertuples(index=False))) == brute_tokens(sorted(documents, key=lambda d: d["doc_id"]))
+    text = {d["doc_id"]: d["text"] for d in documents}
+    wanted = sorted(text)[::17]
+    found = {r.doc_id: r.ids for r in fetch(spark, path, [*wanted, -5]).collect()}
+    assert found == {i: [*encoder_of(Q.TOKENIZER).tokenizer.encode(text[i], add_special_tokens=False).ids, 1] for i in wanted}
+
+
 def test_repair_random_access():
     import numpy as np
 
-    from tarnwork.llm.tokens import Block, pack
+    from tarnwork.llm.tokens import Shard, pack
 
     rng = np.random.default_rng(1)
     parts = [np.tile(rng.integers(0, 50, 7), 60).astype(np.uint32), rng.integers(0, 49_000, 900).astype(np.uint32), np.full(5000, 3, np.uint32), np.zeros(0, np.uint32)]
     payload = pack([1, None, 3, 4], parts)
-    block, every = Block(payload), np.concatenate(parts)
+    block, every = Shard(payload), np.concatenate(parts)
     assert (block.ids(0, block.n_ids) == every).all() and len(payload) < 4 * len(every)
     for a, b in [(0, 1), (17, 423), (5000, 6000), (6319, 6320), (10, 10)]:
         assert (block.ids(a, b) == every[a:b]).all()
@@ -310,12 +357,12 @@ def test_repair_random_access():
 def test_repair_leaves_no_pair_twice(kind):
     import numpy as np
 
-    from tarnwork.llm.tokens import Block, pack
+    from tarnwork.llm.tokens import Shard, pack
 
     rng = np.random.default_rng(2)
     made = {"short": np.tile([5, 6, 7], 4), "many rules": np.tile(rng.integers(0, 49_000, 6_000), 3), "ascending": np.tile(np.arange(20_000), 2), "run": np.full(999, 4), "none": np.arange(50)}
     ids = made[kind].astype(np.uint32)
-    block = Block(pack([1], [ids]))
+    block = Shard(pack([1], [ids]))
     assert (block.ids(0, len(ids)) == ids).all() and (block.ids(1, len(ids) - 1) == ids[1:-1]).all()
     last, places = {}, defaultdict(int)
     for i, pair in enumerate(zip(block.symbols.tolist(), block.symbols[1:].tolist(), strict=False)):
