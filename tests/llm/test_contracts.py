@@ -25,6 +25,10 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
 
 
+def thue_morse(letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(1024))
+
+
 def brute_decontaminate(documents, benchmark):
     windows = defaultdict(set)
     for b in benchmark:
@@ -70,6 +74,38 @@ def test_op7_edges(spark, block):
     assert contamination(spark.createDataFrame(docs, "doc_id long, text string, row int"), empty).filter("contaminated").count() == 0
 
 
+def test_op7_words_of_equal_hash(spark):
+    """Words that collide under every polynomial hash modulo 2**64 are other words, in windows of one word and of ten."""
+    from tarnwork.llm.decontaminate import clean, contamination
+
+    a, b = thue_morse("ab"), thue_morse("ba")
+    bench = [(1, a), (2, "one two three four five six seven eight nine " + a)]
+    docs = [(1, b), (2, "one two three four five six seven eight nine " + b), (3, a), (4, "x one two three four five six seven eight nine " + a.upper())]
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = contamination(frame, items).toPandas()
+    want = brute_decontaminate([{"doc_id": i, "text": t} for i, t in docs], [{"item_id": i, "text": t} for i, t in bench])
+    assert sorted(map(tuple, got[COLUMNS7].itertuples(index=False)), key=str) == want and got.contaminated.sum() == 2
+    assert sorted(r.doc_id for r in clean(frame, items).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in clean(frame, items, block_windows=1).collect()) == [1, 2]
+
+
+def test_op7_windows_are_compared_by_bytes():
+    """With every hash the same, the bytes alone decide."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tarnwork.llm import words as W
+    from tarnwork.llm.decontaminate import Finder, Windows
+
+    real, W.runs_hash = W.runs_hash, lambda data, starts, lengths: np.full(len(starts), 7, np.uint64)
+    try:
+        windows = Windows([(1, "alpha beta gamma"), (2, "delta")], 10, 3)
+        counts, doc, start, k = Finder(windows, windows.prefix({}))(pa.array(["x alpha beta gamma", "alpha beta gamme delta", "delta"]))
+    finally:
+        W.runs_hash = real
+    assert counts.tolist() == [4, 4, 1] and sorted(zip(doc.tolist(), start.tolist(), k.tolist(), strict=True)) == [(0, 1, 0), (1, 3, 1), (2, 0, 1)]
+
+
 def check_shards(got, documents):
     assert sorted(map(str, got.doc_id)) == sorted(str(d["doc_id"]) for d in documents)
     for _, part in got.groupby("shard"):
@@ -227,6 +263,17 @@ def test_op3_edges(spark):
     assert groups(frame.limit(0)).count() == 0
 
 
+def test_op3_texts_of_equal_hash(spark):
+    """Texts of two words in an order that collides under every polynomial hash modulo 2**64, null ids, and copies of one row."""
+    from tarnwork.llm.dart_minhash import groups
+
+    a, b = thue_morse(("one ", "two ")), thue_morse(("two ", "one "))
+    docs = [(1, a), (2, b), (None, a + "!"), (None, "alone"), (7, "only these words"), (7, "only these words"), (9, "Only these words")]
+    got = groups(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert plain(got, ["doc_id", "group_id", "group_rows"]) == sorted([(1, 1, 3), (2, 1, 3), (None, 1, 3), (None, None, 1), (7, 7, 3), (7, 7, 3), (9, 7, 3)], key=str)
+    assert a != b and sorted(got[got.kept].doc_id.fillna(-1)) == [-1, 1, 7, 7]
+
+
 def test_op3_outliers(spark):
     """A family in which many members are near only some of the others, in large buckets."""
     import random
@@ -292,10 +339,6 @@ def test_op5_edges(spark):
     assert encode_and_read(ties.limit(0), Q.TOKENIZER).count() == 0
 
 
-def thue_morse(letters):
-    return "".join(letters[bin(i).count("1") % 2] for i in range(1024))
-
-
 def test_op5_words_of_equal_hash(spark):
     """Words that collide under every polynomial hash modulo 2**64, and pieces around the length that is looked up."""
     from tarnwork.llm.tokens import encode_and_read
@@ -552,6 +595,29 @@ def test_op8_cells(spark):
     assert neighbours(frame.limit(0)).count() == 0
 
 
+def test_op8_balls(spark):
+    """Dense areas among spread directions: cells part them, and hardly a pair is compared in full."""
+    import numpy as np
+
+    from tarnwork.llm import vectors as V
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(9, 24))
+    data = [(i, (centres[i % 9] * 1.0 + rng.normal(scale=0.08, size=24)).tolist(), 1) for i in range(360)] + [(1000 + i, rng.normal(size=24).tolist(), 1) for i in range(240)]
+    frame = spark.createDataFrame([*data, (None, data[0][1], 1)], "vec_id long, embedding array<double>, label int")
+    want = brute_vectors([{"vec_id": a, "embedding": e, "label": k} for a, e, k in data] + [{"vec_id": 10**8, "embedding": data[0][1], "label": 1}])
+    got = V.neighbours(frame, cell=40, block=50).toPandas()
+    assert plain(got, COLUMNS8) == sorted([(None if v == 10**8 else v, *x) for v, *x in want], key=str)
+    x = V.unit(__import__("pyarrow").array([e for _, e, _ in data]))
+    reach = float(np.sqrt(2 - 2 * 0.93))
+    pivots = V.leaders(x, reach, V.BALL, V.PIVOTS)
+    rows_, cells, home = V.places(x, pivots, reach, V.BALL)
+    assert len(pivots) == 9 and home.sum() == len(x) and len(rows_) < 1.1 * len(x)
+    rest = rows_[(cells == -1)]
+    compared = sum(n for _, _, n in V.near_pairs(x, rest, rest, 0.93))
+    assert len(rest) < 260 and compared < 0.2 * len(rest) ** 2
+
+
 def luhn(digits):
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
