@@ -2,14 +2,18 @@
 
 The network reads a text's UTF-8 bytes in both directions; at every position the two states give a
 distribution over the languages, and a document's distribution is the mean over its positions. It is trained
-here, in numpy, by backpropagation through time, on a bounded sample of labelled rows (``SAMPLE`` documents,
-those with the smallest hash of their id). Texts are read whole, in windows of ``STEPS`` bytes that each start
-from a zero state, which makes the sequential part short and the rest one matrix product per step.
+here, in numpy, by backpropagation through time, on pieces of a bounded sample of labelled rows (``SAMPLE`` documents,
+those with the smallest hash of id and text, ``PIECES`` stretches of each from anywhere in the text).
+
+Whole texts are read. So that a long one is not one long chain of steps, its positions are dealt to windows of ``CORE`` bytes, and
+each direction starts up to ``MARGIN`` bytes before the window, so every position's states have read at least
+that much of the text before and after it, or all there is. Windows of about one length are read together.
 
 Gates are piecewise linear (clip(x / 4 + 1/2, 0, 1)), which costs a fraction of a sigmoid and trains as well.
 
-Null texts and texts without a letter get ``und`` and score 0. Repeated rows are judged one by one. If no labelled
-row is left to learn from, everything is ``und``. Extra columns stay out of the result.
+Null texts and texts without a letter get ``und`` and score 0. Of languages with equal probability the first by name is taken. Repeated
+rows are judged one by one; in the sample a row repeated in full counts once. If no labelled row is left to learn from, everything
+is ``und``. An empty table gives an empty result. Extra columns, whatever their names, stay out of the result.
 """
 
 from __future__ import annotations
@@ -24,10 +28,13 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from . import words as W
+from .store import filter_texts
 
-SAMPLE, SAMPLE_BYTES = 4_000, 2_000  # documents to learn from, and bytes of each that training windows may come from
-HIDDEN, STEPS, BATCH, ROUNDS, RATE = 8, 64, 256, 120, 0.02
-AT_ONCE = 4096  # windows in memory
+SAMPLE, PIECES = 4_000, 12  # documents to learn from, and stretches of each
+HIDDEN, STEPS, BATCH, ROUNDS, RATE = 8, 64, 256, 120, 0.02  # STEPS: bytes of a training window
+CORE, MARGIN = 256, 64
+AT_ONCE = 2048  # windows in memory
+BYTES = 1 << 20  # of text read together
 UNKNOWN = "und"
 
 
@@ -42,13 +49,14 @@ def _gate(x: np.ndarray) -> np.ndarray:
     return np.clip(x * np.float32(0.25) + np.float32(0.5), 0, 1, out=x)
 
 
-def _states(data: np.ndarray, table: np.ndarray, u: np.ndarray, keep: bool = False):
-    """States of one direction, data being (steps, windows); with ``keep`` also what backpropagation needs."""
+def _states(data: np.ndarray, table: np.ndarray, u: np.ndarray, keep: bool = False, real: np.ndarray | None = None, skip: int = 0):
+    """States of one direction, data being (steps, windows), without the first ``skip``; a state that has read
+    nothing but places that are not ``real`` is zero. With ``keep`` also what backpropagation needs."""
     steps, n = data.shape
     hidden = u.shape[0]
     h = np.zeros((n, hidden), np.float32)
-    out = np.empty((steps, n, hidden), np.float32)
-    kept = []
+    out = np.empty((steps - skip, n, hidden), np.float32)
+    kept, every = [], None if real is None else real.all(axis=1)
     for t in range(steps):
         x = table[data[t]]
         g = h @ u
@@ -60,7 +68,10 @@ def _states(data: np.ndarray, table: np.ndarray, u: np.ndarray, keep: bool = Fal
         if keep:
             kept.append((h, a, z, r, s, c))
         h = c + z * (h - c)
-        out[t] = h
+        if every is not None and not every[t]:
+            h *= real[t][:, None]
+        if t >= skip:
+            out[t - skip] = h
     return (out, kept) if keep else out
 
 
@@ -134,31 +145,36 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def positions(model: Model, block: np.ndarray) -> np.ndarray:
-    """(steps, windows, languages): the distribution at every position of the windows in (steps, windows) bytes."""
+def positions(model: Model, before: np.ndarray, after: np.ndarray, real: tuple[np.ndarray, np.ndarray] | None = None, margin: int = 0) -> np.ndarray:
+    """(steps, windows, languages): the distribution at every position of the windows.
+
+    ``before`` holds the windows' bytes after those of the margin, ``after`` before those of the margin behind; both are (steps, windows).
+    """
     p = model.parts
     hidden = p["uf"].shape[0]
-    logits = _states(block, p["ef"], p["uf"]) @ p["w"][:hidden]
-    logits += (_states(block[::-1], p["eb"], p["ub"]) @ p["w"][hidden:])[::-1]
+    real_before, real_after = real or (None, None)
+    logits = _states(before, p["ef"], p["uf"], real=real_before, skip=margin) @ p["w"][:hidden]
+    logits += (_states(after[::-1], p["eb"], p["ub"], real=None if real_after is None else real_after[::-1], skip=margin) @ p["w"][hidden:])[::-1]
     logits += p["b"]
     return _softmax(logits)
 
 
-def distributions(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def distributions(model: Model, data: np.ndarray, at: np.ndarray, core: int = CORE, margin: int = MARGIN) -> np.ndarray:
     """Mean distribution over all bytes of each text; zeros for empty texts."""
     lengths = np.diff(at)
-    per = -(-lengths // STEPS)
+    per = -(-lengths // core)
     text = np.repeat(np.arange(len(lengths)), per)
-    starts = at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STEPS
-    ends = np.minimum(starts + STEPS, at[1:][text])
+    starts = at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * core
+    ends = np.minimum(starts + core, at[1:][text])
+    order = np.argsort(starts - ends, kind="stable")  # windows of one length together, long ones first
     total = np.zeros((len(lengths), len(model.languages)))
-    padded = np.concatenate([data, np.full(STEPS, 32, np.uint8)])
+    padded = np.concatenate([np.full(margin, 32, np.uint8), data, np.full(margin + core, 32, np.uint8)])
     for i in range(0, len(text), AT_ONCE):
-        s, e, own = starts[i : i + AT_ONCE], ends[i : i + AT_ONCE], text[i : i + AT_ONCE]
-        place = s + np.arange(STEPS)[:, None]
-        real = place < e
-        block = np.where(real, padded[place], np.uint8(32))
-        p = np.einsum("tnl,tn->nl", positions(model, block), real.astype(np.float32))
+        s, e, own = starts[order[i : i + AT_ONCE]], ends[order[i : i + AT_ONCE]], text[order[i : i + AT_ONCE]]
+        low, high, steps = at[:-1][own], at[1:][own], int((e - s).max())
+        before, after = s + np.arange(-margin, steps)[:, None], s + np.arange(steps + margin)[:, None]
+        p = positions(model, padded[before + margin], padded[after + margin], ((before >= low) & (before < high), (after >= low) & (after < high)), margin)
+        p = np.einsum("tnl,tn->nl", p, (after[:steps] < e).astype(np.float32))
         for k in range(p.shape[1]):
             total[:, k] += np.bincount(own, p[:, k], len(lengths))
     return total / np.maximum(lengths, 1)[:, None]
@@ -168,63 +184,64 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled documents, chosen by the smallest hash of their id, none held out."""
+def fit(documents: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> Model:
+    """Learns from at most ``sample`` labelled documents, those with the smallest hash, none held out: ``pieces`` stretches of each."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out(), F.lit(True)))
-    start = F.substring(F.col("text"), 1, SAMPLE_BYTES)  # training windows only; predictions read whole texts
+    text = F.col("text").cast("string")
     # The hashes' share that holds about ``sample`` rows is known from their number, so no task sends more than its part.
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 2)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", text), 2)
     share = min(1.0, sample / max(1, rows.count()))
-    some = rows.select(h.alias("h"), start.alias("text"), "lang").filter(F.col("h") <= F.lit(int(share * 2**62)))
-    chosen = sorted(some.collect(), key=lambda r: (r.h, r.lang, r.text))[:sample]
-    return train([r.text.encode() for r in chosen], [r.lang for r in chosen])
+    room = F.greatest(F.length(text) - STEPS + 1, F.lit(1))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(pieces)), lambda i: F.substring(text, (F.pmod(F.xxhash64(i, "doc_id"), room) + 1).cast("int"), F.lit(STEPS)))
+    some = rows.select(h.alias("h"), F.col("lang").cast("string").alias("lang"), cut.alias("cut")).filter(F.col("h") <= F.lit(int(share * 2**62)))
+    # Rows repeated in full have one hash and come once, so what is sent stays near ``sample`` rows whatever repeats.
+    once = some.groupBy("h").agg(F.min_by("cut", "lang").alias("cut"), F.min("lang").alias("lang"))
+    chosen = sorted(once.collect(), key=lambda r: r.h)[:sample]
+    return train([x.encode() for r in chosen for x in r.cut], [r.lang for r in chosen for _ in r.cut])
 
 
-def predict(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document."""
-    return judge(documents, model).select("doc_id", "held_out", "lang_pred", "score")
+def _verdicts(model: Model, texts: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray]:
+    data, at = W.raw(texts)
+    some = np.array(letters.to_pylist(), bool) & bool(model.languages)
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    p = distributions(model, data, at)
+    names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(p.argmax(axis=1).tolist(), some, strict=True)]
+    return names, np.where(some, np.clip(p.max(axis=1), 0, 1), 0.0)
+
+
+def _letters() -> Column:
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
-def judge(documents: DataFrame, model: Model | None = None, carry: list[str] | None = None) -> DataFrame:
-    """The verdict with the columns named in ``carry``, row by row, without a join."""
+def predict(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document, in one Arrow pass."""
     ship(documents.sparkSession)
-    model = model or fit(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers, whatever the input
+    shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))  # a few thousand numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            for part in W.slices(batch, "_text"):
-                data, at = W.raw(part.column(0))
-                letters = np.array(part.column(1).to_pylist(), bool) & bool(own.languages)
-                if own.languages:
-                    p = distributions(own, data, at)
-                    best = p.argmax(axis=1)
-                    names = [own.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
-                    score = np.where(letters, np.clip(p.max(axis=1), 0, 1), 0.0)
-                else:
-                    names, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(names, pa.string()), pa.array(score)], [*part.schema.names[2:], "_lang", "_score"])
-
-    carry = [c for c in (carry or []) if c != "doc_id"]
-    text = F.col("text").cast("string")
-    names = [f"_c{i}" for i in range(len(carry))]
-    source = documents.select(
-        text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col("doc_id").alias("_id"), F.coalesce(held_out(), F.lit(False)).alias("_held"),
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)],
-    )
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    schema = ", ".join(f"{n} {kinds[n]}" for n in source.columns[2:]) + ", _lang string, _score double"
-    found = source.mapInArrow(run, schema)
-    return found.select(F.col("_id").alias("doc_id"), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("_held").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+            for part in W.slices(batch, most=BYTES):
+                names, score = _verdicts(shared.value, part.column(0), part.column(1))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    source = documents.select(F.col("text").cast("string").alias("text"), _letters().alias("letters"), "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def readable(documents: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents whose language can be told: neither ``und`` nor scored below ``least``, with all their columns.
 
-    The whole texts stay in the JVM; only verdicts by (doc_id, text hash) of the few rejects are looked up.
+    Each row is judged by its own text and goes on or not where it is, without a shuffle.
     """
-    found = judge(documents.withColumn("_tarnwork_h", F.xxhash64("text")), fit(documents), ["_tarnwork_h"])
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("_tarnwork_h").distinct()
-    keyed = documents.withColumn("_tarnwork_h", F.xxhash64("text"))
-    return keyed.join(bad, "_tarnwork_h", "left_anti").select(*documents.columns)
+    ship(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents))  # a few thousand numbers, whatever the input
+
+    def decide():
+        def keep(part: pa.RecordBatch) -> np.ndarray:
+            names, score = _verdicts(shared.value, part.column(0), part.column(1))
+            return np.array([n != UNKNOWN for n in names], bool) & (score >= least)
+
+        return keep
+
+    return filter_texts(documents, [_letters()], decide, most=BYTES)
