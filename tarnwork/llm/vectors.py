@@ -1,15 +1,22 @@
 """Near-duplicate vectors by an exact metric range join.
 
-Vectors of a label are scaled to unit length, where cosine >= c means distance <= r = sqrt(2 - 2c). Pivots part
-the vectors of a large label into cells, each vector's home being its nearest pivot. A vector is copied to another
-cell if it may lie within r of a vector there; by the triangle inequality that needs its distance to the plane between
-both pivots, (d(v, p)^2 - d(v, q)^2) / (2 d(p, q)), to be at most r. Cells are then joined independently: every home vector
-meets all vectors of its cell, in blocks of bounded size, so a dense cell is many tasks. All links of a vector are found
-in its home cell and counted there; only counts and a spanning forest leave a block, never pairs.
+Vectors of a label are scaled to unit length, where cosine >= c means distance <= r = sqrt(2 - 2c). Pivots are the centres of a
+label's dense areas, found in a sample of it. A vector's home is the ball of radius ``BALL`` around its nearest pivot, or the rest
+if it is in no ball. The triangle inequality sets the replication: a vector visits a ball if its distance to the pivot is at most ``BALL`` + r,
+and the rest unless it is within ``BALL`` - r of a pivot, so that all links of a home vector end in its cell. Cells then
+join independently: every home vector meets all vectors of its cell, in blocks of bounded size, so a dense cell is many tasks.
+
+Within a block, ``AXES`` more pivots span a subspace. The projection to it never lengthens a distance, so the cosine of a
+pair is at most the product of the projections plus that of what the projections leave; only pairs that this bound lets pass are compared in
+full. All links of a vector are counted in its home cell; only counts and a spanning forest leave a block, never pairs.
+
+Pivots save work and never change the result: labels with at most ``CELL`` classes, or beyond the ``PIVOT_NUMBERS`` that are broadcast at most, are
+one cell. Directions spread evenly over a sphere of many dimensions fill the rest, which no pivot parts; the README has figures.
 
 Equal vectors of a label are one class first and are expanded by counting. A vector that is null, empty, zero or
 holds null or non-finite components, or whose label is null, links with nothing. Vectors of different lengths do not
-link. Repeated rows count as separate vectors. Extra columns stay out of the result.
+link. Repeated rows count as separate vectors. A component's id is its smallest vec_id, null only if all are null. Extra columns,
+whatever their names, stay out of the result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
 from .dart_minhash import components
-from .store import materialise
+from .store import join_uneven, materialise
 
 COSINE = 0.93
-CELL, MOST_PIVOTS = 2048, 4096  # classes a cell should have, and pivots over all labels
+CELL, SAMPLE = 128, 512  # classes of the largest label without pivots, and classes that a label's pivots are chosen from
+BALL, PIVOTS, PIVOT_NUMBERS = 0.6, 32, 4_000_000  # radius of a cell, pivots a label, and their components over all labels
+AXES = 16  # pivots of the bound within a block
 BLOCK, ROWS = 2048, 256  # vectors of a block, and rows compared at once
 EPS = 1e-9
 
@@ -38,54 +47,101 @@ def unit(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _pivots(classes: DataFrame, cell: int) -> dict[tuple, np.ndarray]:
-    """Pivots of labels that have more than one cell's classes: those with the smallest hash, at most MOST_PIVOTS in all."""
-    large = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell)
-    large = large.orderBy(F.col("n").desc(), "label").limit(MOST_PIVOTS // 2).collect()
-    if not large:
+def leaders(x: np.ndarray, reach: float, ball: float, most: int) -> np.ndarray:
+    """The vectors with most others near them, one after another, none in the ball of an earlier one."""
+    near = x @ x.T >= 1 - max(ball - reach, reach / 4) ** 2 / 2
+    inside = x @ x.T >= 1 - ball**2 / 2
+    left, out = np.ones(len(x), bool), []
+    while len(out) < most and left.any():
+        crowd = (near & left).sum(axis=1) * left
+        best = int(crowd.argmax())
+        if crowd[best] < 2:
+            break
+        out.append(best)
+        left &= ~inside[best]
+    return x[out]
+
+
+def _pivots(classes: DataFrame, cell: int, reach: float, ball: float) -> dict[tuple, np.ndarray]:
+    """Pivots of the largest labels; what they hold together is bounded by ``PIVOT_NUMBERS``."""
+    large = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).orderBy(F.col("n").desc(), "label", "dim")
+    kept, room = [], PIVOT_NUMBERS
+    for r in large.limit(PIVOT_NUMBERS // PIVOTS // 16).toLocalIterator():
+        room -= PIVOTS * r.dim
+        if room < 0:
+            break
+        kept.append((r.label, r.dim, min(1.0, SAMPLE / r.n)))
+    if not kept:
         return {}
-    total = sum(r.n for r in large)
-    wanted = {(r.label, r.dim): max(2, min(-(-r.n // cell), int(MOST_PIVOTS * r.n / total))) for r in large}
-    sizes = classes.sparkSession.createDataFrame([(label, dim, k) for (label, dim), k in wanted.items()], f"label {classes.schema['label'].dataType.simpleString()}, dim int, k int")
-    place = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64(F.lit(3), "cls"), "cls"))
-    own = classes.join(F.broadcast(sizes), ["label", "dim"]).withColumn("_r", place).filter(F.col("_r") <= max(wanted.values())).filter("_r <= k")  # at most MOST_PIVOTS / 2 sizes
-    found: dict[tuple, list] = {}
-    for r in own.select("label", "dim", "embedding").collect():
-        found.setdefault((r.label, r.dim), []).append(r.embedding)
-    return {k: unit(pa.array(v)) for k, v in found.items()}
-
-
-def _cells(classes: DataFrame, pivots: dict[tuple, np.ndarray], reach: float) -> DataFrame:
+    shares = classes.sparkSession.createDataFrame(kept, f"label {classes.schema['label'].dataType.simpleString()}, dim int, share double")
+    some = classes.join(F.broadcast(shares), ["label", "dim"]).filter(F.shiftrightunsigned(F.xxhash64(F.lit(3), "cls"), 2) <= F.col("share") * F.lit(2.0**62))
+
+    def choose(table: pa.Table) -> pa.Table:
+        found = leaders(unit(table.column("embedding")), reach, ball, PIVOTS)
+        return pa.table({"label": table.column("label")[: len(found)], "dim": table.column("dim")[: len(found)], "pivot": pa.array(found.tolist(), pa.list_(pa.float64()))})
+
+    kinds = f"label {classes.schema['label'].dataType.simpleString()}, dim int, pivot array<double>"
+    out: dict[tuple, list] = {}
+    for r in some.select("label", "dim", "embedding").groupBy("label", "dim").applyInArrow(choose, kinds).collect():
+        out.setdefault((r.label, r.dim), []).append(r.pivot)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def places(x: np.ndarray, pivots: np.ndarray, reach: float, ball: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell (-1: the rest) and whether it is the row's home, for each cell that a row is in."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+    inside = d <= ball + reach + EPS
+    nearest = d.argmin(axis=1)
+    home = np.where(d[np.arange(len(d)), nearest] <= ball, nearest, -1)
+    inside[np.flatnonzero(home >= 0), home[home >= 0]] = True
+    outside = (home < 0) | ~(d <= ball - reach - EPS).any(axis=1)
+    r, c = np.nonzero(inside)
+    rest = np.flatnonzero(outside)
+    r, c = np.concatenate([r, rest]), np.concatenate([c, np.full(len(rest), -1)])
+    return r, c, home[r] == c
+
+
+def _cells(classes: DataFrame, pivots: dict[tuple, np.ndarray], reach: float, ball: float) -> DataFrame:
     """cell and whether it is the vector's home; one row per cell that the vector is in."""
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOT_NUMBERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        between = {k: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for k, p in pivots.items()}
         for batch in batches:
-            labels, dims = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            keys = list(zip(labels, dims, strict=True))
-            rows, cells, home = [], [], []
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            rows, cells, home = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for key in sorted(set(keys), key=str):
                 own = np.array([i for i, k in enumerate(keys) if k == key])
-                if key not in pivots:
-                    rows.append(own), cells.append(np.zeros(len(own), int)), home.append(np.ones(len(own), bool))
-                    continue
-                p = pivots[key]
-                cosine = unit(batch.column(4).take(pa.array(own))) @ p.T
-                nearest = cosine.argmax(axis=1)
-                # d(v, p)^2 - d(v, q)^2 = 2 (v.q - v.p)
-                gap = 2 * (cosine.max(axis=1, keepdims=True) - cosine)
-                inside = gap <= 2 * reach * between[key][nearest] + EPS
-                inside[np.arange(len(own)), nearest] = True
-                r, c = np.nonzero(inside)
-                rows.append(own[r]), cells.append(c), home.append(nearest[r] == c)
-            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(5)], pa.array(np.concatenate(cells) if cells else [], pa.int32()), pa.array(np.concatenate(home) if home else [], pa.bool_())], ["cls", "label", "dim", "n", "embedding", "cell", "home"])
+                if key in shared.value:
+                    r, c, h = places(unit(batch.column(4).take(pa.array(own))), shared.value[key], reach, ball)
+                else:
+                    r, c, h = np.arange(len(own)), np.full(len(own), -1), np.ones(len(own), bool)
+                rows.append(own[r]), cells.append(c), home.append(h)
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(5)], pa.array(np.concatenate(cells), pa.int32()), pa.array(np.concatenate(home))], ["cls", "label", "dim", "n", "embedding", "cell", "home"])
 
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("cls", "label", "dim", "n", "embedding"))
     return classes.select("cls", "label", "dim", "n", "embedding").mapInArrow(run, f"{schema}, cell int, home boolean")
 
 
+def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, axes: int = AXES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Pairs of left and right rows with cosine >= least, and how many pairs were compared in full."""
+    basis, _ = np.linalg.qr(x[np.linspace(0, len(x) - 1, min(axes, len(x), x.shape[1])).astype(int)].T)
+    part = x @ basis
+    part = np.concatenate([part, np.sqrt(np.maximum(0, 1 - (part * part).sum(axis=1, keepdims=True)))], axis=1)
+    for i in range(0, len(left), ROWS):
+        own = left[i : i + ROWS]
+        r, c = np.nonzero(part[own] @ part[right].T >= least - EPS)
+        compared = len(r)
+        if 4 * compared > len(own) * len(right):  # a dense block: one product is less work than the listed pairs
+            r, c = np.nonzero(x[own] @ x[right].T >= least)
+        else:
+            a, b = own[r], right[c]
+            good = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 65536]], x[b[k : k + 65536]]) >= least for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+            r, c = r[good], c[good]
+        yield own[r], right[c], compared
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -103,13 +159,11 @@ def join_block(table: pa.Table, least: float) -> pa.Table:
     x = unit(table.column("embedding"))
     h, m = np.flatnonzero(home), np.flatnonzero(member)
     links, parent = np.zeros(len(names), np.int64), np.arange(len(names))
-    for i in range(0, len(h), ROWS):
-        part = h[i : i + ROWS]
-        r, c = np.nonzero(x[part] @ x[m].T >= least)
-        a, b = index[part[r]], index[m[c]]
+    for one, two, _ in near_pairs(x, h, m, least):
+        a, b = index[one], index[two]
         other = a != b
-        a, b, c = a[other], b[other], c[other]
-        links += np.bincount(a, counts[m[c]], len(names)).astype(np.int64)
+        a, b, two = a[other], b[other], two[other]
+        links += np.bincount(a, counts[two], len(names)).astype(np.int64)
         while len(a):
             ra, rb = parent[a], parent[b]
             open_ = ra != rb
@@ -120,16 +174,17 @@ def join_block(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array(names[some], pa.string()), "b": pa.array(names[parent[some]], pa.string()), "links": pa.array(links[some])})
 
 
-def neighbours(vectors: DataFrame, least: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, least: float = COSINE, cell: int = CELL, block: int = BLOCK, ball: float = BALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     ship(vectors.sparkSession)
     sound = "label is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x != 0)"
-    name = F.concat(*[F.hex(F.xxhash64(F.lit(i), "label", "embedding")) for i in range(2)])
+    name = F.sha2(F.concat_ws(":", F.col("label").cast("string"), F.col("embedding").cast("string")), 256)
     source = vectors.selectExpr("vec_id", "label", "cast(embedding as array<double>) embedding", f"coalesce({sound}, false) sound")
     rows = materialise(source.select("vec_id", "label", F.when(F.col("sound"), F.col("embedding")).alias("embedding"), F.when(F.col("sound"), name).alias("cls")), "vectors-rows")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"))
+    classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least_id"))
     classes = materialise(classes.withColumn("dim", F.size("embedding")), "vectors-classes")
-    placed = materialise(_cells(classes, _pivots(classes, cell), float(np.sqrt(max(0.0, 2 - 2 * least)))), "vectors-cells")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    placed = materialise(_cells(classes, _pivots(classes, cell, reach, ball), reach, ball), "vectors-cells")
     place = ["label", "dim", "cell"]
     sizes = placed.groupBy(*place).agg(F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("i_n"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("j_n"))
     sized = placed.join(sizes, place).withColumns({"_i": F.pmod(F.xxhash64("cls"), F.greatest("i_n", F.lit(1))).cast("int"), "_j": F.pmod(F.xxhash64("cls"), "j_n").cast("int")})
@@ -144,10 +199,12 @@ def neighbours(vectors: DataFrame, least: float = COSINE, cell: int = CELL, bloc
     found = materialise(dealt.groupBy(*place, "i", "j").applyInArrow(lambda t: join_block(t, least), "a string, b string, links long"), "vectors-found")
     roots = components(found.filter("a != b").select("a", "b"), "vectors-roots")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    by_class = classes.select(F.col("cls").alias("node"), "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    joined = rows.select("vec_id", F.col("cls").alias("node")).join(by_class, "node", "left")
-    smallest = joined.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = joined.join(smallest, "root", "left")
+    by_class = classes.select(F.col("cls").alias("node"), "n", "least_id").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # From roots to classes and from classes to rows: a large component or a vector with many copies is never one task.
+    by_class = materialise(by_class, "vectors-linked")
+    smallest = materialise(by_class.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("_classes")), "vectors-components")
+    verdict = materialise(join_uneven(by_class, smallest, "root", "_classes").select(F.col("node").alias("cls"), "n", "links", "component_id"), "vectors-verdicts")
+    out = join_uneven(rows.select("vec_id", "cls"), verdict, "cls", "n")
     return out.select(
         "vec_id", F.coalesce(F.col("n") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -677,6 +677,28 @@ def test_op1_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan and spans(frame.limit(0)).count() == 0
 
 
+def test_op1_many_spans_in_one_text(spark):
+    """Base spans and candidates by the thousand in one text: twice as many take about twice as long; kept apart as by brute force."""
+    import time
+
+    from tarnwork.llm.personal import find, spans
+
+    def text(n):
+        return " ".join(f"mail u{i}@x.org or u{i} (at) y (dot) org, 10.0.0.{i % 256} 300.1.2.{i}" for i in range(n))
+
+    took = []
+    for n in (500, 2_000, 4_000):
+        frame = spark.createDataFrame([(1, text(n))], "doc_id int, text string")
+        began = time.time()
+        row = spans(frame).first()
+        took.append(time.time() - began)
+        assert (row.n_email, row.n_ip, row.private) == (n, n, True)
+    assert took[2] < 4 * took[1] + 2
+    row = find(spark.createDataFrame([(1, text(40))], "doc_id int, text string")).first()
+    own = [(x.kind, x.start, x.end) for x in row.base]
+    assert all(not any(k == x.kind and a < x.end and x.start < b for k, a, b in own) for x in row.chosen if not x.base)
+
+
 def test_op1_guards(spark):
     from tarnwork.llm.personal import spans
 
@@ -696,6 +718,58 @@ def test_op2(spark):
     assert found[truth == 1].mean() > 0.9 and found[truth == 0].mean() < 0.05
 
 
+def test_op2_held_out_labels(spark):
+    """Fitted on the labels of even ids, held against those of odd ones."""
+    from tarnwork.llm.toxicity import fit, score
+
+    sf = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = score(documents.filter("doc_id % 2 = 1"), fit(documents, labels.filter("doc_id % 2 = 0"))).toPandas().set_index("doc_id")
+    truth = pd.DataFrame([r for r in rows(sf, "labels") if r["doc_id"] % 2 == 1]).set_index("doc_id")
+    found, toxic = got.toxic[truth.index], truth.toxic == 1
+    assert toxic.sum() > 100 and found[toxic].mean() > 0.75 and found[~toxic].mean() < 0.03
+    severity = got.severity[truth.index]
+    assert severity[toxic & (truth.quality == 0)].mean() > severity[toxic].mean() > severity[~toxic].mean()
+
+
+def test_op2_fit_is_a_minimum():
+    """No small step along any weight or border lowers the loss that is written out here by hand."""
+    import numpy as np
+
+    from tarnwork.llm import toxicity as X
+
+    rng = np.random.default_rng(3)
+    dense = rng.random((200, 6)) < 0.4
+    grade = np.clip((dense @ np.array([2, 1, 0, 0, -1, -2]) + rng.normal(size=200) + 1).astype(int), 0, 2)
+    rows_, columns = np.nonzero(dense)
+
+    def loss(w, borders):
+        total = 0.0
+        for x, g in zip(dense, grade, strict=True):
+            below = [0.0, *(1 / (1 + np.exp(-(b - x @ w))) for b in borders), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / len(grade) + X.SHRINK * np.abs(w).sum()
+
+    m = X.fit_ordinal(rows_, columns, grade, 6)
+    best = loss(m.weights, m.borders)
+    for i in range(8):
+        for step in (-0.1, 0.1):
+            moved = np.concatenate([m.weights, m.borders])
+            moved[i] += step
+            assert loss(moved[:6], moved[6:]) > best
+    assert np.allclose(m.grades(np.array([0.3])).sum(), 1) and m.weights[0] > m.weights[1] > 0 > m.weights[4] > m.weights[5]
+
+
+def test_op2_repeated_ids(spark):
+    from tarnwork.llm.toxicity import fit, score
+
+    docs = [(1, "bad word here")] * 50 + [(1, "other text")] + [(i, "kind word here" if i % 2 else "bad word there") for i in range(2, 60)]
+    labels = [(1, 1, 1), (1, 1, 1), *((i, 1, (i + 1) % 2) for i in range(2, 60))]
+    frame, named = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = score(frame, fit(frame, named, sample=60)).toPandas()
+    assert len(got) == len(docs) and got.toxic.sum() >= 29
+
+
 def test_op2_edges(spark):
     from tarnwork.llm.toxicity import fit, score
 
