@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import dart_minhash, decontaminate, language, mixture, personal, shards, tokens, toxicity, vectors, warc
 
@@ -43,7 +44,9 @@ def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The contract's columns, and ``capture``: the nested row's requests and metadata as JSON."""
+    nested = F.to_json(F.struct(F.transform("requests", lambda r: r["target_uri"]).alias("requests"), F.transform("metadata", lambda m: m["page_id"]).alias("metadata")))
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", nested.alias("capture"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +84,9 @@ both_ways as materialized (select x as a, y as b from link union select y, x fro
 g as (select a as doc_id, min(b) as group_id from reach group by a)
 select doc_id, group_id, count(*) over (partition by group_id) as group_rows, doc_id = group_id as kept from g"""
 
-OP6_SQL = """
-with p as (select page_id, coalesce(html, '') as html from pages), h as (select page_id, html, sha1(html) as h, min(page_id) over (partition by html) as first from p)
-select page_id, cast(strlen(html) as bigint) as payload_bytes,
+OP6_SQL = r"""
+with p as (select page_id, coalesce(nullif(url, ''), 'urn:none') as url, coalesce(html, '') as html from pages), h as (select page_id, url, html, sha1(html) as h, min(page_id) over (partition by html) as first from p)
+select page_id, '{"requests":["' || array_to_string(list_transform(string_split(url, ''), lambda c: case when regexp_full_match(c, '[A-Za-z0-9_.~%/:=&?#+!$,;''@()*\[\]-]') then c else url_encode(c) end), '') || '"],"metadata":[' || cast(page_id as varchar) || ']}' as capture, cast(strlen(html) as bigint) as payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast(('0x' || substr(h, cast(i // 4 * 5 + 1 as int), 5)) as bigint) >> cast(15 - i % 4 * 5 as int)) & 31) + 1, 1)), '') as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from h"""
 

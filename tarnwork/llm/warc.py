@@ -6,8 +6,10 @@ a revisit names the record it refers to in WARC-Refers-To. Files hold one gzip m
 ``FILE_BYTES`` of payload, so a reader holds one record at a time. Each task writes under a name of its own attempt; only
 files named in the manifest, which Spark commits with the tasks, are ever read.
 
-Of records with equal payloads of at least ``least`` bytes, the smallest page_id is the response; rows that tie on
-that id are all responses. Null html is an empty payload. Repeated rows each are a capture.
+Of records with equal payloads (by SHA-256) of at least ``least`` bytes, the smallest page_id is the response; rows that tie on
+that id are all responses. Null html is an empty payload. A null page_id is never a response if another page has its payload. Repeated rows
+each are a capture; their records are the same and are listed once. A very long page is one record, held whole by one task. An
+empty table writes no file. Extra columns, whatever their names, stay out of the archives.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from .store import materialise, new_path
+from .store import join_uneven, materialise, new_path
 
 FILE_BYTES, READ_BYTES = 64 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -67,21 +69,29 @@ def transaction(page_id: int | None, url: str | None, payload: bytes, response_p
     )
 
 
-def write(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the archives under ``path``; returns the manifest (file, captures)."""
+def _files(path: str):
+    """The file system of a path and the path within it; Hadoop's names of object stores are known too."""
     from pyarrow import fs as arrow_fs
 
+    scheme, mark, rest = path.partition("://")
+    return arrow_fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest)
+
+
+def write(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the archives under ``path``; returns the manifest (file, captures)."""
     ship(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
-    # Digests with one row alone need no partner; the others' first page is looked up.
-    first = keyed.groupBy("sha").agg(F.min("page_id").alias("first"))
-    roles = keyed.join(first, "sha").select(
-        "page_id", "url", F.col("html").cast("binary").alias("html"), "first", (~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least)).alias("revisit")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("sha"))
+    # Payloads of one row alone need no partner; of the others the first page is looked up, a very common one without a shuffle.
+    shared = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = join_uneven(keyed, materialise(shared, "warc-shared"), "sha", "n")
+    first = F.when(F.col("n").isNull(), F.col("page_id")).otherwise(F.col("first"))
+    roles = found.select(
+        "page_id", "url", F.col("html").cast("binary").alias("html"), first.alias("first"), (~F.col("page_id").eqNullSafe(first) & (F.octet_length("html") >= least)).alias("revisit")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = arrow_fs.FileSystem.from_uri(path)
+        fs, root = _files(path)
         fs.create_dir(root, recursive=True)
         out, name, size, captures = None, None, 0, 0
         for batch in batches:
@@ -151,12 +161,10 @@ def parse(member: bytes) -> dict | None:
 
 def records(spark: SparkSession, path: str, manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the archives."""
-    from pyarrow import fs as arrow_fs
-
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = arrow_fs.FileSystem.from_uri(path)
+        fs, root = _files(path)
         schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in RECORD.split(", "))])
         for batch in batches:
             for name in batch.column(0).to_pylist():
@@ -183,20 +191,22 @@ def records(spark: SparkSession, path: str, manifest: DataFrame, payloads: bool
 def assemble(found: DataFrame) -> DataFrame:
     """One nested row per capture: page_id, response (or revisit), requests, metadata, and what a revisit refers to.
 
-    Records meet by the identifier they are concurrent to. Rows repeated in full have equal identifiers: each stays a capture.
+    Records meet by the identifier they are concurrent to. Rows repeated in full have equal identifiers: their records are counted before
+    they meet, so no capture gathers more than its own few, and each row stays a capture.
     """
     part = F.struct("record_id", "kind", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload")
     main = F.col("kind").isin("response", "revisit")
-    together = found.groupBy(F.col("concurrent_to").alias("capture_id")).agg(
-        F.collect_list(F.when(main, part)).alias("_main"),
+    counted = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("times"))
+    captures = counted.groupBy(F.col("concurrent_to").alias("capture_id")).agg(
+        F.first(F.when(main, part), ignorenulls=True).alias("response"), F.max(F.when(main, F.col("times"))).alias("times"),
         F.collect_list(F.when(F.col("kind") == "request", F.struct("record_id", "target_uri"))).alias("requests"),
         F.collect_list(F.when(F.col("kind") == "metadata", F.struct("record_id", "page_id"))).alias("metadata"),
-    )
-    captures = together.withColumn("response", F.explode("_main")).withColumn("page_id", F.try_element_at("metadata", F.lit(1))["page_id"]).drop("_main")
-    source = found.filter("kind = 'response'").select(F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_bytes")).distinct()
-    pages = found.filter("kind = 'metadata'").select(F.col("concurrent_to").alias("_id"), F.col("page_id").alias("_page")).distinct()
-    origin = source.join(pages, "_id")
-    joined = captures.join(origin, captures["response.refers_to"] == origin["_id"], "left")
+    ).filter("response is not null")
+    captures = materialise(captures.withColumn("page_id", F.try_element_at("metadata", F.lit(1))["page_id"]).withColumn("refers", F.col("response.refers_to")), "warc-captures")
+    cited = captures.filter("refers is not null").groupBy(F.col("refers").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    own = captures.filter("response.kind = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("_page"), F.col("response.payload_bytes").alias("_bytes"))
+    origin = materialise(own.join(cited, own["refers"] == cited["_id"]).drop("_id"), "warc-origins")
+    joined = join_uneven(captures, origin, "refers", "_n").withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return joined.select(
         "page_id", "capture_id", "response", "requests", "metadata", F.col("_page").alias("refers_to"), F.coalesce("response.payload_bytes", "_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type")
     )
@@ -208,4 +218,5 @@ def archive(pages: DataFrame, payloads: bool = False) -> DataFrame:
     if "://" not in path and path.startswith("file:"):
         path = "file://" + path.removeprefix("file:")
     manifest = write(pages, path)
-    return assemble(records(pages.sparkSession, path, manifest, payloads))
+    # The archives are read, inflated and parsed once.
+    return assemble(materialise(records(pages.sparkSession, path, manifest, payloads), "warc-records"))
