@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE, previous, ranges, running_total
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int | Column, rank: str | None = None) -> DataFrame:
     """The first k rows of each group; k may be a column of the group."""
@@ -22,16 +24,18 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def duplicate_provenance(df: DataFrame, key: list[str], order: list[Column], ident: str) -> DataFrame:
-    """Every duplicate with the ident of the row that is kept instead."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumns({"_rank": F.row_number().over(w), "kept_" + ident: F.first(ident).over(w)}).filter("_rank > 1").drop("_rank")
+    """Every duplicate with the ident of the row that is kept instead. Keys are aggregated before they meet, so a hot one is no one task's."""
+    first = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(F.min(F.struct(*order, F.struct(ident).alias("_v"))).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    paired = df.join(first, same).withColumn("kept_" + ident, F.col("_first._v")[ident])
+    return paired.filter(~F.col(ident).eqNullSafe(F.col("kept_" + ident))).drop("_first", "_n", *[f"_k_{k}" for k in key])
 
 
 def conflict_dedup(df: DataFrame, key: list[str], signature: str, order: list[Column]) -> DataFrame:
     """First row of each key, without keys whose rows have different signatures."""
-    w = Window.partitionBy(*key)
-    same = df.withColumns({"_a": F.min(signature).over(w), "_b": F.max(signature).over(w)}).filter("_a <=> _b").drop("_a", "_b")
-    return first_wins(same, key, order)
+    rest = [c for c in df.columns if c not in key]
+    agreed = df.groupBy(*key).agg(F.min(signature).alias("_a"), F.max(signature).alias("_b"), F.count(signature).alias("_some"), F.count(F.lit(1)).alias("_all"), F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return agreed.filter("_a <=> _b and (_some = _all or _some = 0)").select(*key, "_r.*").select(*df.columns)
 
 
 def max_rank(df: DataFrame, key: list[str], rank: list[Column]) -> DataFrame:
@@ -45,7 +49,8 @@ def hash_limit(df: DataFrame, order: Column, n: int) -> DataFrame:
 
 
 def islands(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Numbers the runs of equal ``group`` in the given order as ``island``; the stream is one ordered whole."""
-    w = Window.orderBy(*order)
-    changed = F.when(F.col(group).eqNullSafe(F.lag(group).over(w)), 0).otherwise(1)
-    return df.withColumn("_c", changed).withColumn("island", F.sum("_c").over(w)).drop("_c")
+    """Numbers the runs of equal ``group`` in the given order as ``island``, from 1; the stream is one ordered whole, worked on range by range."""
+    dealt = previous(ranges(df.withColumn("_g", F.struct(group)), order), order, "_g", "_before")  # the very first row has none
+    changed = F.when(F.col("_before").isNotNull() & F.col("_g").eqNullSafe(F.col("_before")), 0).otherwise(1)
+    counted = running_total(dealt.withColumn("_c", changed), order, F.col("_c"), "_so_far")
+    return counted.withColumn("island", F.col("_so_far") + F.col("_c")).drop("_c", "_g", "_before", "_so_far", RANGE)

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import checks, folds, joins, metrics, scalars, select_queries  # noqa: F401  each registers its own
+from . import checks, folds, games, joins, metrics, scalars, select_queries, stores  # noqa: F401  each registers its own
 from .flagship import flagship
 from .registry import ORACLES, QUERIES
 

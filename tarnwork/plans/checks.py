@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import records
+from ..operators import relations as R
+from ..sources import features, records
+from ..sources.records import scratch
 from .registry import Tables, query, shared
 
 shared("structural_validation", lambda D: """
@@ -21,8 +24,6 @@ def error_code_array(t: Tables):
 @query("""with m as (select conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) as w from conversations), p as (select conv_id, turn, w, lag(w) over (partition by conv_id order by turn) as before from m)
     select conv_id, turn, len(list_filter(w, lambda x: not list_contains(coalesce(before, []), x))) as n_new from p""")
 def mentions_subset(t: Tables):
-    from pyspark.sql import Window
-
     words = t.conversations.select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
     before = F.coalesce(F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
     return words.withColumn("_b", before).select("conv_id", "turn", F.size(F.array_except("w", "_b")).cast("long").alias("n_new"))
@@ -32,16 +33,14 @@ shared("qualify_rows", lambda D: """
     select l_orderkey, max(l_discount) < 0.10 and max(case when l_linenumber = 1 then l_discount end) < 0.05 as qualified, count(case when l_discount >= 0.10 then 1 end) as n_over from lineitem group by l_orderkey""")
 shared("grade_answers", lambda D: """
     select d.doc_id, d.lang, case when l.quality is null then 'unparsed' when l.quality = 1 and d.text not like '%###%' then 'correct' when l.quality = 1 then 'format' else 'wrong' end as grade from documents d left join labels l on d.doc_id = l.doc_id""")
-shared("board_facts", lambda D: """
-    select doc_id, length(text) - length(replace(text, 'e', '')) as n_e, (length(text) - length(replace(text, 'q', ''))) * 9 + (length(text) - length(replace(text, 'r', ''))) * 5 as material, strpos_first from (select doc_id, text, position('k' in text) as strpos_first from documents) x""")
 shared("footprint_explode", lambda D: f"""
-    select distinct doc_id, w from (select doc_id, {D.split("replace(text, chr(10), chr(32))", ' ')} as ws from documents where n_chars < 500) x, {D.unnest('ws')} as u(w) where w <> ''""")
+    select distinct doc_id, w from (select doc_id, {D.split("replace(text, chr(10), chr(32))", ' ')} as ws from documents) x, {D.unnest('ws')} as u(w) where w <> ''""")
 shared("length_budget", lambda D: f"""
     select doc_id, {D.size(D.split('text', ' '))} as tokens, {D.size(D.split('text', ' '))} <= 512 as fits from documents""")
 shared("render_templates", lambda D: f"""
     select doc_id, case doc_id % 3 when 0 then concat('Which language is document ', {D.text('doc_id')}, '?') when 1 then concat('Name the language of no. ', {D.text('doc_id')}) else concat({D.text('doc_id')}, ': language?') end as question, concat('Answer: ', lang) as answer from documents""")
 shared("blinded_packet", lambda D: f"""
-    select doc_id, {D.sha("concat(substr(text, 1, 200), '|', lang)")} as packet_id, substr(text, 1, 200) as excerpt, lang from documents""")
+    select doc_id, {D.sha("concat(text, '|', lang)")} as packet_id, text as excerpt, lang from documents""")
 shared("assemble_labels", lambda D: """
     select d.doc_id, d.lang as stage, d.source as task_type, l.quality as answer, case when l.toxic = 1 then 'review' else 'train' end as route from documents d join labels l on d.doc_id = l.doc_id""")
 shared("hidden_fields", lambda D: "select doc_id, lang, n_chars from documents")
@@ -71,9 +70,12 @@ shared("augment_union", lambda D: """
     select p_partkey as id, cast(null as bigint) as parent, p_name as name from part union all select p_partkey + 1000000 as id, p_partkey as parent, reverse(p_name) as name from part where p_name <> reverse(p_name)""")
 shared("view_fanout", lambda D: """
     select event_id, 'numeric' as kind, value as score from events where value is not null union all select event_id, 'move' as kind, cast(null as double) as score from events where event_type <> 'view'""")
-shared("prefix_expand", lambda D: f"""
-    with r as (select c.conv_id, p.turn as ply, {D.ordered('c.role', 'c.turn')} as prefix from conversations c join conversations p on p.conv_id = c.conv_id and c.turn <= p.turn group by c.conv_id, p.turn)
-    select prefix, min(conv_id) as conv_id, count(*) as n from r where ply <= 5 group by prefix""")
+@query("""with r as (select c.conv_id, string_agg(c.role, ' ' order by c.turn) as prefix from conversations c join conversations p on p.conv_id = c.conv_id and c.turn <= p.turn group by c.conv_id, p.turn)
+    select prefix, min(conv_id) as conv_id, count(*) as n from r group by prefix""")
+def prefix_expand(t: Tables):
+    """Each prefix of each conversation's roles, once, with its first owner."""
+    roles = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    return R.prefixes(roles, "roles").groupBy(F.array_join("prefix", " ").alias("prefix")).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n"))
 shared("readback_diff", lambda D: """
     with w as (select doc_id, case when doc_id % 97 = 0 then 'xx' else lang end as lang from documents) select doc_id, lang, 'added' as side from (select doc_id, lang from w except select doc_id, lang from documents) x union all select doc_id, lang, 'lost' as side from (select doc_id, lang from documents except select doc_id, lang from w) y""")
 shared("table_diff", lambda D: """
@@ -83,24 +85,37 @@ shared("catalog_build", lambda D: """
     select p.p_brand, count(distinct p.p_partkey) as roots, count(*) as targets, count(distinct l.l_orderkey) as owners from part p join lineitem l on l.l_partkey = p.p_partkey group by p.p_brand""")
 
 
-@query("select vec_id, label, len(embedding) as width from embeddings where vec_id % 2 = 0 union all select vec_id, label, len(embedding) from embeddings where vec_id % 2 = 1 and list_aggregate(list_transform(embedding, lambda x: case when isfinite(x) then 0 else 1 end), 'sum') = 0")
+@query("""select vec_id, block, ordinal, width from (select vec_id, 0 as block, row_number() over (order by vec_id) - 1 as ordinal, len(embedding) as width from embeddings where vec_id % 2 = 0
+    union all select vec_id, 1, row_number() over (order by vec_id) - 1, len(embedding) from embeddings where vec_id % 3 = 0 and vec_id % 2 = 1)""")
 def feature_append_disjoint(t: Tables):
-    base, new = t.embeddings.filter("vec_id % 2 = 0"), t.embeddings.filter("vec_id % 3 <> 7")
-    fresh = new.join(base.select("vec_id"), "vec_id", "left_anti").filter(F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return base.unionByName(fresh).select("vec_id", "label", F.size("embedding").cast("long").alias("width"))
-
-
-shared("feature_gather", lambda D: """
-    select d.doc_id, k.pos, e.label from documents d cross join (select 0 as pos union all select 1 union all select 2) k join embeddings e on e.vec_id = (d.doc_id * 7 + k.pos * 3) % 500 where d.doc_id < 300""")
-
-
-@query("select doc_id, k, text from (select doc_id, 1 as k, left(text, 10) as text from documents where doc_id < 20 union all select doc_id, 2, right(text, 10) from documents where doc_id < 20) order by doc_id, k")
+    """A store of the even vectors, then those divisible by three appended: what the store has is not written again."""
+    store = features.create(t.spark, scratch(t.spark), width=t.embeddings.select(F.size("embedding")).first()[0])
+    named = t.embeddings.select(F.col("vec_id").cast("string").alias("key"), "embedding")
+    store.append(named.filter("key % 2 = 0"))
+    store.append(named.filter("key % 3 = 0"), known="skip")
+    rows = store.read().withColumn("vec_id", F.col("key").cast("long"))
+    order = F.row_number().over(Window.partitionBy("block").orderBy("vec_id")) - 1
+    return rows.select("vec_id", F.col("block"), order.cast("long").alias("ordinal"), F.size("feature").cast("long").alias("width"))
+
+
+@query("""with n as (select count(*) as n from embeddings) select d.doc_id, p.pos, e.vec_id, e.label from documents d cross join n cross join (select unnest([0, 1, 2, 3]) as pos) p join embeddings e on e.vec_id = case when p.pos = 3 then d.doc_id * 7 % n.n else (d.doc_id * 7 + p.pos * 3) % n.n end""")
+def feature_gather(t: Tables):
+    """Four keys of each document, the last one a repeat of the first, looked up in order in the whole store."""
+    store = features.create(t.spark, scratch(t.spark), width=t.embeddings.select(F.size("embedding")).first()[0])
+    store.append(t.embeddings.select(F.col("vec_id").cast("string").alias("key"), "embedding"))
+    n = t.embeddings.count()
+    keys = t.documents.select("doc_id", F.array(*[((F.col("doc_id") * 7 + 3 * i) % n).cast("string") for i in (0, 1, 2, 0)]).alias("keys"))
+    found = store.gather(keys, ["doc_id"], "keys")
+    return found.select("doc_id", "pos", F.col("key").cast("long").alias("vec_id")).join(t.embeddings.select("vec_id", "label"), "vec_id")
+
+
+@query("""select doc_id, k, text from (select doc_id, 1 as k, text from documents union all select doc_id, 2, lang from documents)""")
 def archive_import(t: Tables):
-    """Members of a ZIP archive per document, read back in order."""
+    """The whole text and the language of every document as members of a ZIP archive a document, read back in order."""
     import io
     import zipfile
 
-    rows = t.documents.filter("doc_id < 20").select("doc_id", F.left("text", F.lit(10)).alias("a"), F.right("text", F.lit(10)).alias("b"))
+    rows = t.documents.select("doc_id", "text", "lang")
 
     def pack(frames):
         import pandas as pd

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.ranges import number
 from ..streaming import ledger as L
-from .registry import Tables, query, shared
+from .registry import Tables, query
 
 
 @query("""select user_id, event_id, event_type, attempts from (select user_id, event_id, event_type, count(*) over (partition by user_id) as attempts, row_number() over (partition by user_id order by case when event_type = 'purchase' then 1 else 0 end desc, ts desc, event_id desc) as k from events) where k = 1""")
@@ -33,21 +34,33 @@ def state_fold(t: Tables):
     return L.fold(events, "user_id", ["ts", "event_id"], _step, "planned", "state", "user_id long, state string")
 
 
-@query("""select event_id, event_type, round((k - 0.5) / case event_type when 'click' then 4.0 when 'view' then 2.0 else 1.0 end, 6) as due from (select event_id, event_type, row_number() over (partition by event_type order by event_id) as k from events)""")
+WEIGHTS = {"click": 4.0, "view": 2.0, "purchase": 1.0}
+
+
+@query()
 def weighted_interleave(t: Tables):
-    kinds = {r[0]: {"click": 4.0, "view": 2.0}.get(r[0], 1.0) for r in t.events.select("event_type").distinct().collect()}  # the types of event
-    return L.interleave(t.events.select("event_id", "event_type"), "event_type", ["event_id"], kinds).select("event_id", "event_type", F.round("due", 6).alias("due"))
+    """Each user's events of three kinds in smooth weighted order; of events with one user, hour and kind only the first is taken."""
+    rows = t.events.filter(F.col("event_type").isin(*WEIGHTS)).select("user_id", "event_type", "event_id", F.concat_ws("/", "event_type", F.date_format("ts", "yyyyMMddHH")).alias("hour"))
+    return L.interleave(rows, ["user_id"], "event_type", ["event_id"], "event_id", ["hour"], WEIGHTS)
 
 
-@query("""with a as (select lang, source, doc_id, row_number() over (partition by lang, source order by doc_id) as n from documents), b as (select lang, source, doc_id, row_number() over (partition by lang order by n, source) as place from a) select * from b where place <= 30""")
+@query()
 def adaptive_sampler(t: Tables):
-    return L.adaptive_sample(t.documents.select("lang", "source", "doc_id"), "lang", "source", "doc_id", 30)
+    """Two documents of each source, by inverse frequency of their length classes so far, in each language."""
+    rows = t.documents.select("lang", "source", "doc_id", F.floor(F.log10(F.col("n_chars") + 1)).cast("int").alias("length_class"))
+    return L.adaptive_sample(rows, ["lang"], "source", "doc_id", "length_class", 2, "31")
 
 
-@query("""with c as (select doc_id, lang, source, row_number() over (partition by source order by doc_id) as c from documents) select doc_id, lang, source, row_number() over (partition by lang order by doc_id) as turn from c where c <= 5""")
+@query()
 def diverse_selection(t: Tables):
-    return L.diverse(t.documents.select("doc_id", "lang", "source"), ["lang"], "source", 5, ["doc_id"])
+    """At most 60 documents a language, in turn over length classes, at most 4 of a source and 30 that share a first or last word."""
+    words = F.array_distinct(F.array(F.substring_index("text", " ", 1), F.substring_index("text", " ", -1)))
+    rows = t.documents.select("lang", "doc_id", "source", F.floor(F.log10(F.col("n_chars") + 1)).cast("int").alias("length_class"), words.alias("ends"))
+    return L.diverse(rows, ["lang"], ["length_class"], "doc_id", {"source": 4, "ends": 30}, 60, "32", heavier=("length_class", 3, 2))
 
 
-shared("group_process_restore_order", lambda D: """
-    select event_id, user_id, round(sum(value) over (partition by user_id order by ts, event_id), 4) as running, row_number() over (order by event_id) as place from events""")
+@query("""select event_id, user_id, round(sum(value) over (partition by user_id order by ts, event_id), 4) as running, row_number() over (order by ts, event_id) - 1 as place from events""")
+def group_process_restore_order(t: Tables):
+    """A running total within each user's events, which then stand in the order of time again."""
+    done = L.by_group_in_order(t.events.select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], lambda s, v: s + v, 0.0, "value", "running", "double")
+    return number(done.select("event_id", "user_id", "ts", "running"), ["ts", "event_id"], "place").select("event_id", "user_id", F.round("running", 4).alias("running"), "place")

@@ -27,8 +27,7 @@ SHINGLES = "select distinct {i} as id, array_to_string(list_slice(w, i, i + 7),
     select doc_id, doc_id not in (select id from hit) as kept from documents""")
 def reserved_isolation(t: Tables):
     d = t.documents
-    kept, dropped = R.isolate(d.select("doc_id"), "doc_id", R.shingles(d, "doc_id", "text"), R.shingles(t.benchmark, "item_id", "text"), "position")
-    return kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False)))
+    return R.isolated(d.select("doc_id"), "doc_id", R.shingles(d, "doc_id", "text"), R.shingles(t.benchmark, "item_id", "text"), "position", "kept")
 
 
 shared("reservation_set", lambda D: f"""
@@ -61,9 +60,13 @@ shared("prediction_gold_join", lambda D: """
     from documents d left join labels l on d.doc_id = l.doc_id group by d.source""")
 shared("reuse_or_fresh", lambda D: """
     select d.doc_id, case when l.doc_id is null then 'fresh' else 'cached' end as origin, coalesce(l.quality, -1) as quality from documents d left join labels l on d.doc_id = l.doc_id and l.toxic = 0""")
-shared("prefix_join", lambda D: f"""
-    with r as (select conv_id, {D.ordered('role', 'turn')} as roles from conversations group by conv_id), root as (select distinct substr(roles, 1, 14) as roles from r)
-    select c.conv_id, root.roles as root from r c join root on substr(c.roles, 1, 14) = root.roles and length(c.roles) > length(root.roles)""")
+@query("""with r as (select conv_id, list(role order by turn) as roles from conversations group by conv_id), root as (select distinct list_slice(roles, 1, 2) as roles from r where len(roles) >= 2)
+    select c.conv_id, array_to_string(root.roles, ' ') as root, len(c.roles) - 2 as extra from r c join root on list_slice(c.roles, 1, 2) = root.roles and len(c.roles) > 2""")
+def prefix_join(t: Tables):
+    """Every longer line with the two-step root that it begins with."""
+    roles = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    roots = roles.filter(F.size("roles") >= 2).select(F.slice("roles", 1, 2).alias("root")).distinct()
+    return R.family(roles, "roles", roots, "root").filter(F.size("roles") > F.size("root")).select("conv_id", F.array_join("root", " ").alias("root"), (F.size("roles") - F.size("root")).cast("long").alias("extra"))
 shared("bitmask_join", lambda D: """
     with r as (select p_partkey, (case when p_size < 10 then 1 else 0 end) + (case when p_retailprice > 1000 then 2 else 0 end) as mask from part),
     t as (select l_orderkey, l_linenumber, l_partkey, case when l_returnflag = 'R' then 1 else 2 end as bit from lineitem)
@@ -72,12 +75,11 @@ shared("parent_child_join", lambda D: """
     select c.conv_id, c.turn, p.role as parent_role, p.role = c.role as repeats from conversations c join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1""")
 
 
-@query("""with recursive chain as (select doc_id, doc_id as link, 0 as depth from documents where doc_id < 500 union all select doc_id, link // 2, depth + 1 from chain where link > 1 and depth < 20)
+@query("""with recursive chain as (select doc_id, doc_id as link, 0 as depth from documents union all select doc_id, link // 2, depth + 1 from chain where link > 1)
     select doc_id, arg_max(link, depth) as original, max(depth) as depth from chain group by doc_id""")
 def revision_chain(t: Tables):
-    t.documents.select("doc_id").createOrReplaceTempView("revision_documents")
-    return t.spark.sql("""with recursive chain as (select doc_id, doc_id as link, 0 as depth from revision_documents where doc_id < 500 union all select doc_id, link div 2, depth + 1 from chain where link > 1 and depth < 20)
-        select doc_id, max_by(link, depth) as original, max(depth) as depth from chain group by doc_id""")
+    revisions = t.documents.select("doc_id", F.when(F.col("doc_id") > 1, F.expr("doc_id div 2")).alias("corrected_from"))
+    return R.originals(revisions, "doc_id", "corrected_from").filter("not cyclic").select("doc_id", "original", "depth")
 
 
 shared("first_divergence", lambda D: """
@@ -93,4 +95,4 @@ shared("review_binding", lambda D: f"""
 @query("""with s as (select doc_id, source, count(*) over (partition by source) as n from documents), p as (select *, row_number() over (order by n desc, source, doc_id) - 1 as i, max(n) over () as m, count(*) over () as total from s)
     select a.doc_id, a.source, b.doc_id as donor_doc_id, b.source as donor_source from p a join p b on (a.i + a.m) % a.total = b.i""")
 def derangement_join(t: Tables):
-    return R.derangement(t.documents.select("doc_id", "source"), "source", [F.col("doc_id")])
+    return R.derangement(t.documents.select("doc_id", "source"), "source", ["doc_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +75,13 @@ def shared(name: str, make: Callable[[type[Spark]], str]) -> None:
     """A query in SQL that both engines run, apart from the names of a few functions."""
     spark_sql = make(Spark)
 
+    # Views have names of this package's own, so a user's views stay as they are.
+    used = [t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", spark_sql)]
+    own_sql = re.sub(rf"\b(from|join)(\s+)({'|'.join(TABLES)})\b", r"\1\2tarnwork_\3", spark_sql)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if t in spark_sql:
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(spark_sql)
+        for t in used:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"tarnwork_{t}")
+        return spark.sql(own_sql)
 
     QUERIES[name], ORACLES[name] = run, make(Duck)

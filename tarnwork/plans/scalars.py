@@ -68,11 +68,6 @@ shared("label_canonicalize", lambda D: """
 shared("derive_group", lambda D: f"""
     select page_id, case when url like 'https://%' then 'secure' when url like 'http://%' then 'plain' else 'other' end as kind,
       coalesce(nullif({D.extract('url', '^https?://([^/?#]+)', 1)}, ''), 'none') as host from pages""")
-shared("coordinate_recode", lambda D: """
-    select l_orderkey, l_linenumber, concat(substr('abcdefghi', cast(l_partkey % 9 as int) + 1, 1), cast(l_suppkey % 10 as varchar(9))) as square,
-      cast(l_partkey % 9 as int) as file0, cast(l_suppkey % 10 as int) + 1 as rank1 from lineitem""")
-shared("score_probability", lambda D: """
-    select event_id, floor(0.5 + 1000 / (1 + exp(-(least(greatest(value, -200), 200) - 50) / 20.0))) as permille from events""")
 shared("score_order_key", lambda D: """
     select event_id, case when event_type = 'purchase' then 100000 - cast(floor(value) as int) when event_type = 'error' then -100000 + cast(floor(value) as int) else cast(floor(value) as int) end as order_key,
       case when user_id % 2 = 0 then value else -value end as seen_by_mover from events""")
@@ -133,7 +128,7 @@ def dataset_fingerprint(t: Tables):
     return records.fingerprint(t.documents.select("doc_id", "lang"))
 
 
-shared("metadata_then_payload", lambda D: "select d.doc_id, d.n_chars, substr(d.text, 1, 40) as head from documents d where d.doc_id in (select doc_id from labels where quality = 1 and toxic = 1)")
+shared("metadata_then_payload", lambda D: "select d.doc_id, d.n_chars, d.text as payload from documents d where d.doc_id in (select doc_id from labels where quality = 1 and toxic = 1)")
 shared("unique_id_check", lambda D: "select source, count(*) as n, count(distinct doc_id) as n_ids, count(*) - count(distinct doc_id) as repeated from documents group by source")
 
 
@@ -149,10 +144,6 @@ shared("url_allowlist", lambda D: f"""
       {D.matches('url', '^https?://[a-z.]+[.](com|org|net)(/|$)')} and not {D.matches('url', '[?&](?:token|password)=')} as allowed from pages""")
 shared("json_record_admission", lambda D: f"""
     select event_id, case when {D.json('props', 'k')} is null then 'no_key' when cast({D.json('props', 'k')} as int) % 7 = 0 then 'enum' when value < 0 then 'negative' else 'ok' end as reason from events""")
-shared("admit_quarantine_split", lambda D: f"""
-    with r as (select doc_id, {D.sha('text')} as h, case when length(text) < 40 then 'short' when text like '%###%' then 'junk' end as reason from documents),
-    k as (select *, row_number() over (partition by h order by doc_id) as n from r where reason is null)
-    select stream, count(*) as n from (select 'quarantined' as stream from r where reason is not null union all select case when n = 1 then 'admitted' else 'duplicate' end as stream from k) x group by stream""")
 
 
 @query(r"""select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k, event_id % 3 <> 0 as valid from events""")
@@ -162,5 +153,3 @@ def fenced_json_parse(t: Tables):
     return parsed.select("event_id", F.when(F.col("parsed").isNull(), F.get_json_object("props", "$.k").try_cast("int")).otherwise(F.col("parsed.k")).alias("k"), F.col("parsed").isNotNull().alias("valid"))
 
 
-shared("log_parse_last_wins", lambda D: """
-    select user_id, event_type, value from (select user_id, event_type, value, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) x where k = 1""")

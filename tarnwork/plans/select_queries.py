@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import select as S
+from ..operators.ranges import number
 from .registry import Duck, Tables, query, shared
 
 ORDERED = "array_to_string(list(role order by turn), ' ')"
@@ -44,10 +45,10 @@ shared("orbit_dedupe", lambda D: """
     select orbit, min(p_partkey) as p_partkey, count(*) as n from (select p_partkey, least(p_name, reverse(p_name)) as orbit from part) x group by orbit""")
 
 
-@query("""with f as (select event_id, event_type, ts, case when event_type = lag(event_type) over (order by ts, event_id) then 0 else 1 end as c from events where user_id < 20),
+@query("""with f as (select event_id, event_type, ts, case when event_type = lag(event_type) over (order by ts, event_id) then 0 else 1 end as c from events),
     i as (select *, sum(c) over (order by ts, event_id) as island from f) select cast(island as bigint) as island, min(event_type) as event_type, count(*) as n from i group by island""")
 def contiguous_groups(t: Tables):
-    found = S.islands(t.events.filter("user_id < 20"), "event_type", ["ts", "event_id"])
+    found = S.islands(t.events.select("event_type", "ts", "event_id"), "event_type", ["ts", "event_id"])
     return found.groupBy(F.col("island").cast("long").alias("island")).agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
 
 
@@ -66,8 +67,10 @@ def prefix_and_future_windows(t: Tables):
 shared("phase_tertile", lambda D: """
     select conv_id, turn, cast(least(2, floor(3 * turn / greatest(1, max(turn) over (partition by conv_id)))) as int) as phase from conversations""")
 shared("variant_rotation", lambda D: "select doc_id, (row_number() over (partition by lang, source order by doc_id) - 1) % 3 as variant from documents")
-shared("shard_assignment", lambda D: """
-    select doc_id, (row_number() over (order by doc_id) - 1) % 8 as strided, cast(floor((row_number() over (order by doc_id) - 1) / 128) as bigint) as chunk from documents""")
+@query("select doc_id, (row_number() over (order by doc_id) - 1) % 8 as strided, cast(floor((row_number() over (order by doc_id) - 1) / 128) as bigint) as chunk from documents")
+def shard_assignment(t: Tables):
+    placed = number(t.documents.select("doc_id"), ["doc_id"], "i")
+    return placed.select("doc_id", (F.col("i") % 8).alias("strided"), F.floor(F.col("i") / 128).cast("long").alias("chunk"))
 
 
 @query("select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by sha256('3/' || lang || '/' || doc_id), doc_id) as k from documents) where k <= 20")
@@ -108,9 +111,9 @@ shared("epoch_batches", lambda D: f"""
     select epoch, doc_id, cast(floor(i / 64) as bigint) as step, cast(floor((i % 64) / 16) as bigint) as worker, i % 16 as place from q""")
 shared("weighted_pick", lambda D: f"""
     with w as (select lang, count(*) as n from documents group by lang), c as (select lang, sum(n) over (order by lang) - n as low, sum(n) over (order by lang) as high, sum(n) over () as total from w),
-    u as (select p_partkey as draw, {D.hexint(f"substr({D.sha(f'''concat('13/', {D.text('p_partkey')})''')}, 1, 8)")} / 4294967296.0 as u from part where p_partkey <= 200)
+    u as (select p_partkey as draw, {D.hexint(f"substr({D.sha(f'''concat('13/', {D.text('p_partkey')})''')}, 1, 8)")} / 4294967296.0 as u from part)
     select u.draw, c.lang from u join c on u.u * c.total >= c.low and u.u * c.total < c.high""")
 shared("early_stopping", lambda D: """
-    with m as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) as step, value from events where user_id < 30),
+    with m as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) as step, value from events),
     b as (select run, step, value, max(value) over (partition by run order by step rows between unbounded preceding and 1 preceding) as before from m)
     select run, max(case when before is null or value > before then step end) as best_step, max(step) - max(case when before is null or value > before then step end) as stale from b group by run""")

@@ -10,14 +10,18 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new path in the folder that all executors share; a local one only where Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/tarnwork-records/{uuid.uuid4().hex}"
 
 
@@ -34,10 +38,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def pointers(lines: DataFrame, ordinal: str, line: str) -> DataFrame:
-    """line_no, sha and byte_offset of each line in the order of ``ordinal``; one file is one ordered stream."""
-    w = Window.orderBy(ordinal)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select((F.row_number().over(w) - 1).cast("long").alias("line_no"), F.sha2(line, 256).alias("sha"), F.coalesce(F.sum(F.octet_length(line) + 1).over(before), F.lit(0)).cast("long").alias("byte_offset"))
+    """line_no, sha and byte_offset of each line in the order of ``ordinal``; one file is one ordered stream, worked on range by range."""
+    from ..operators.ranges import ranges, running_total
+
+    short = lines.select(ordinal, F.sha2(line, 256).alias("sha"), (F.octet_length(line) + 1).cast("long").alias("_bytes"))
+    placed = running_total(running_total(ranges(short, [ordinal]), [ordinal], F.lit(1).cast("long"), "line_no"), [ordinal], F.col("_bytes"), "byte_offset")
+    return placed.select("line_no", "sha", "byte_offset")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -163,12 +169,12 @@ def parse_games(texts: DataFrame, column: str, carry: list[str]) -> DataFrame:
     return texts.select(*carry, column).mapInPandas(run, "".join(f"{c} {kinds[c]}, " for c in carry) + "ordinal int, headers map<string,string>, moves array<string>, error string")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, bytes, modification time and SHA-256 of the files under a path."""
-    found = spark.read.format("binaryFile").load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "modificationTime", F.sha2("content", 256).alias("sha256"))
-
-
-def git_blob_id(content):
-    """The identifier git gives a file's content."""
-    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "utf-8"), F.unhex(F.lit("00")), content))
+def grade_numeric(rows: DataFrame, answer: str, expected: str, allowed: str, within: int) -> DataFrame:
+    """Adds ``errors``: json (no JSON object), fields (value or line missing), value (off by more than ``within``), line (its first move is not allowed)."""
+    parsed = parse_fenced(rows, answer, "value int, line array<string>")
+    p = F.col("parsed")
+    fields = p["value"].isNull() | p["line"].isNull() | (F.size(p["line"]) == 0)
+    code = F.when(p.isNull(), F.array(F.lit("json"))).when(fields, F.array(F.lit("fields"))).otherwise(
+        F.array_compact(F.array(F.when(F.abs(p["value"] - F.col(expected)) > within, "value").otherwise(F.when(~F.array_contains(F.col(allowed), F.get(p["line"], 0)), "line"))))
+    )
+    return parsed.withColumn("errors", code).drop("parsed")
