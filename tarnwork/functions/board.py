@@ -35,10 +35,10 @@ def squares(fen: Column) -> Column:
 
 
 def piece_map(fen: Column) -> Column:
-    """square -> piece."""
+    """square -> piece; null for what is no board."""
     s = squares(fen)
     entry = lambda i: F.struct(F.concat(F.substring(F.lit(FILES), i % 9 + 1, F.lit(1)), (F.lit(9) - F.floor(i / 9)).cast("string")).alias("k"), F.substring(s, i + 1, F.lit(1)).alias("v"))
-    return F.map_from_entries(F.filter(F.transform(F.sequence(F.lit(0), F.lit(89)), entry), lambda e: e["v"] != "."))
+    return F.when(s.isNotNull(), F.map_from_entries(F.filter(F.transform(F.sequence(F.lit(0), F.lit(89)), entry), lambda e: e["v"] != ".")))
 
 
 def count(fen: Column, piece: str) -> Column:

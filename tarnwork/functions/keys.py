@@ -26,10 +26,10 @@ def json_string(text: Column, ascii: bool = True) -> Column:
         out = out.when(n < 32, unit(n))
         if ascii:
             above = n - 0x10000
-            out = out.when(n >= 0x10000, F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(0x3FF) + 0xDC00))).when(n > 127, unit(n))
+            out = out.when(n >= 0x10000, F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(0x3FF) + 0xDC00))).when(n > 126, unit(n))
         return out.otherwise(c)
 
-    plain = ~text.rlike(r'[^\x20-\x7f]|["\\]' if ascii else r'[\x00-\x1f"\\]')
+    plain = ~text.rlike(r'[^\x20-\x7e]|["\\]' if ascii else r'[\x00-\x1f"\\]')
     characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(characters, escaped), "")), F.lit('"'))
 

@@ -47,7 +47,7 @@ def read_json(spark: SparkSession, path: str):
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, modified and content of every file; without ``content`` in a later select nothing is read."""
+    """path, bytes, modified and content of every file that has bytes; without ``content`` in a later select nothing is read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content")
 
 
