@@ -84,7 +84,7 @@ def test_conflicting_keys_vanish(spark):
 
 def test_derangement_changes_every_key(spark):
     d = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(10)], "id int, k string")
-    got = R.derangement(d, "k", [F.col("id")]).collect()
+    got = R.derangement(d, "k", ["id"]).collect()
     assert len(got) == 10 and all(r.k != r.donor_k for r in got) and sorted(r.donor_id for r in got) == list(range(10))
 
 
@@ -118,3 +118,30 @@ def test_flagship(spark, sf):
 
     got = flagship(spark, sf)
     assert got.columns == ["split", "lang", "source", "n"] and got.count() > 0
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from tarnwork.__main__ import main
+
+    assert main(["list"]) == 0 and "first_wins_dedup" in capsys.readouterr().out
+    out = f"file://{tmp_path}/rows"
+    assert main(["run", "hash_order_limit", "--data", "/root/testdata/sf0.001", "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 50
+    with pytest.raises(SystemExit):
+        main(["run", "no such query", "--data", "x"])
+
+
+def test_stop_decisions(spark):
+    rows = [("a", i, m) for i, m in enumerate([0.1, 0.5, 0.505, 0.4, 0.3])] + [("b", i, 0.1 * i) for i in range(5)]
+    got = {r.run: (r.best_step, r.checks_since, r.stop) for r in S.decide(spark.createDataFrame(rows, "run string, step int, m double"), "run", "step", "m", 0.01, 3, 99).collect()}
+    assert got == {"a": (1, 3, True), "b": (4, 0, False)}
+
+
+def test_unset_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        records.scratch(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    conf.get = lambda key, default=None: "hdfs://x/y/"
+    assert records.scratch(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))).startswith("hdfs://x/y/tarnwork")
