@@ -10,18 +10,23 @@ rank of about k (ln k + 3) over its total weight, each falls on one of k coordin
 keeps its earliest dart (ranks are extended until none is empty). Two documents agree on a coordinate with
 probability equal to their similarity. Work is linear in the elements plus k ln k.
 
-Joining: 32 bands of 6 coordinates; a pair at 0.8 shares no band with probability 6e-5. Texts with equal words are
-one node first, so exact copies never meet in a band. In each band bucket all members are compared with its
+Joining: 32 bands of 6 coordinates; a pair at 0.8 shares no band with probability 6e-5. Texts with equal words (by a BLAKE2b
+digest of them) are one node first, so exact copies never meet in a band. In each band bucket all members are compared with its
 smallest member (a star, so linear in the bucket); components of verified links follow. Then the pairs
-of a bucket that are still in different components are compared: one by one in small buckets; in large ones after
-another star, and within the bucket, in blocks. Comparison is exact, on whole texts. No bucket is cut.
-
-Texts without words and null texts have no shingles: each is a group of its own. Rows with equal doc_id
-may have different texts; each row gets its own text's group. Extra columns stay out of the result.
+of a bucket that are still in different components are compared, a bucket once however many bands hold the same members. All such pairs
+are found either way; how they travel depends on the bucket: up to ``SMALL`` members as a list of pairs, more after another star and
+then within the bucket, in blocks of at most ``BLOCK`` members and about ``BLOCK_SHINGLES`` shingles. Comparison is on whole
+texts. No bucket is cut.
+
+Texts without words and null texts have no shingles: each is a group of its own. A group's id is its smallest doc_id, null only if all
+are null. Rows with equal doc_id may have different texts; each row gets its own text's group. Rows repeated in full are in one
+group and all of them are kept or none. A very long text is hashed alone. An empty table gives an empty result. Extra columns,
+whatever their names, stay out of the result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +36,12 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from . import words as W
-from .store import materialise
+from .store import drop, free_names, join_uneven, materialise
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
 SMALL, BLOCK = 24, 1024  # members of a bucket whose open pairs are all listed; members of a block of a larger one
+BLOCK_SHINGLES = 4_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +109,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text hash, node (digest of the words; null without words), weight and band keys of each row."""
+    """doc_id, SHA-256 of the text, node (digest of the words; null without words), weight and band keys of each row."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +118,15 @@ def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFram
                 found = W.find_words(part.column(2))
                 element, text = W.shingles(found, SHINGLE)
                 keys = band_keys(signatures(*cells(element, text), part.num_rows, bands * rows), bands, rows)
-                starts, ends = found.first[:-1], found.first[1:]
-                digest = np.stack([W.windows_hash(found.hash, starts, ends, W.BASE), W.windows_hash(W.mix(found.hash), starts, ends, W.STEP)], axis=1)
-                none = starts == ends
-                node = pa.array([None if no else d.tobytes() for no, d in zip(none, digest, strict=True)], pa.binary())
+                plain, at = found.plain()
+                whole, none = memoryview(plain), found.first[1:] == found.first[:-1]
+                ends = at[found.first].tolist()
+                node = pa.array([None if no else hashlib.blake2b(whole[i:j], digest_size=16).digest() for no, i, j in zip(none, ends[:-1], ends[1:], strict=True)], pa.binary())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(none) * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, pa.array(np.bincount(text, minlength=len(none)).astype(np.int64)), flat], ["doc_id", "text_hash", "node", "weight", "bands"])
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, node binary, weight long, bands array<long>")
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_hash binary, node binary, weight long, bands array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -166,11 +172,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, name)
+        large, before = materialise(large, name), edges
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         small = pairs.select("v", "m").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        drop(before), drop(large)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return materialise(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), name)
 
@@ -182,8 +189,11 @@ def _able(least: float):
 def _open(shared: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     """The members, with root and size n, of buckets whose members are in different components."""
     state = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keys = state.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.count(F.lit(1)).alias("n")).filter("_r != _s")
-    return materialise(state.join(keys.select("key", "n"), "key"), name)
+    members = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"_d{i}") for i in range(2)]
+    keys = state.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("shingles"), *members).filter("_r != _s")
+    # Bands often hold the very same members, which need to be compared once only.
+    once = keys.groupBy("n", "_d0", "_d1").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
+    return materialise(state.join(once.select("key", "n", "shingles"), "key"), name)
 
 
 def bucket_links(table: pa.Table, least: float) -> pa.Table:
@@ -233,7 +243,7 @@ def bucket_links(table: pa.Table, least: float) -> pa.Table:
 
 def _large(rest: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
     """Links within large buckets: members go with their texts to pairs of blocks, and only forests of links come back."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = rest.select("key", "node", "root", blocks.alias("_n"), F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int").alias("_b"))
     dealt = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     pairs = dealt.select(
@@ -272,30 +282,33 @@ def _finish(shared: DataFrame, roots: DataFrame, texts: DataFrame, least: float,
 def groups(documents: DataFrame, least: float = LEAST, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, group_id (smallest doc_id of its group), group_rows, kept, and text_hash.
 
-    kept: the row has the group's smallest (doc_id, text hash); rows repeated in full are all marked.
+    kept: the row has the group's smallest (doc_id, SHA-256 of the text), null ids last; rows repeated in full are all marked.
     """
     signed = materialise(sign(documents), "minhash-signed")
+    least_row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = materialise(
-        signed.filter("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "minhash-nodes"
+        signed.filter("node is not null").groupBy("node").agg(F.min(least_row).alias("row"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "minhash-nodes"
     )
     members = nodes.select("node", "weight", F.explode("bands").alias("key"))
     centers = members.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("_most")).filter("center != _most").select("key", "center")
     shared = materialise(members.join(centers, "key"), "minhash-shared")
-    involved = shared.select("node").distinct().join(nodes, "node").select("node", "text_hash")
-    # One text per node: texts of equal words have equal shingles, whichever is taken.
-    texts = materialise(
-        documents.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).join(involved, "text_hash").dropDuplicates(["node"]).select("node", "text"), "minhash-texts"
-    )
+    # One row per node brings its text: texts of equal words have equal shingles, whichever is taken.
+    involved = shared.select("node").distinct().join(nodes, "node").select("node", F.col("row.doc_id").alias("_i"), F.col("row.text_hash").alias("text_hash"))
+    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    found = whole.join(involved, F.col("doc_id").eqNullSafe(F.col("_i")) & (whole["text_hash"] == involved["text_hash"]))
+    texts = materialise(found.groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
     weights = nodes.select(F.col("node").alias("center"), F.col("weight").alias("center_weight"))
     stars = shared.filter("node != center").select("center", "node", "weight").distinct().join(weights, "center")
     able = F.least("weight", "center_weight") >= F.lit(least - 1e-9) * F.greatest("weight", "center_weight")
     links = materialise(_similar(stars.filter(able).select(F.col("center").alias("a"), F.col("node").alias("b")), texts, least), "minhash-links")
     roots = components(links, "minhash-roots")
     roots = _finish(shared, roots, texts, least, small, block)
-    placed = signed.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_k"), F.count(F.lit(1)).alias("_n"))
-    out = placed.join(smallest, "root", "left")
-    alone = F.col("root").isNull()
+    # From roots to nodes and from nodes to rows: a large group or a text with many copies is never one task.
+    placed = materialise(nodes.select("node", "row", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-placed")
+    smallest = placed.groupBy("root").agg(F.min("row").alias("_k"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_nodes"))
+    by_node = materialise(join_uneven(placed, smallest, "root", "_nodes").select("node", "n", "_k", "_n"), "minhash-verdicts")
+    out = join_uneven(signed.select("doc_id", "text_hash", "node"), by_node, "node", "n")
+    alone = F.col("node").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_k.doc_id")).alias("group_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_rows"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("_k.doc_id")) & (F.col("text_hash") == F.col("_k.text_hash")))).alias("kept"), "text_hash",
@@ -303,10 +316,11 @@ def groups(documents: DataFrame, least: float = LEAST, small: int = SMALL, block
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents' columns, with one row of each group."""
-    found = groups(documents)
-    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct(), "minhash-gone")
-    keyed = documents.withColumn("_tarnwork_x", F.xxhash64("text"))
-    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_i"]) & (keyed["_tarnwork_x"] == gone["_h"]), "left_anti").drop("_tarnwork_x")
+    """The documents' columns, with one row of each group. Of rows repeated in full one stays."""
+    found = materialise(groups(documents), "minhash-rows")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+    (digest,) = free_names(documents.columns, 1)
+    keyed = documents.withColumn(digest, F.unhex(F.sha2("text", 256)))
+    kept = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["_i"]) & (keyed[digest] == gone["_h"]), "left_anti").drop(digest)
     repeated = found.filter("kept and group_rows > 1").groupBy("doc_id", "text_hash").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -126,6 +126,62 @@ def test_op4(spark, sf):
     assert set(got.law) == {"bytes"}
 
 
+def brute_tree(points, shards, uneven=0.1):
+    """The tree by sorted lists: points are (size, code points, crc, id hash), all weighing their size."""
+    span = [max(1, max(p[i] for p in points) - min(p[i] for p in points)) for i in range(4)]
+    out = {}
+
+    def split(own, a, b):
+        if b - a == 1 or not own:
+            out.update({i: a for i, _ in own})
+            return
+        total, half = sum(p[0] for _, p in own), a + (b - a) // 2
+        share = (half - a) / (b - a)
+        wide = [(max(p[i] for _, p in own) - min(p[i] for _, p in own)) / span[i] for i in range(3)]
+        best = None
+        for turn, d in enumerate([*sorted(range(3), key=lambda i: -wide[i]), 3]):
+            if best is not None and best[0] <= (uneven if turn == 3 else 0):
+                break
+            so_far, border = 0, None
+            for v in sorted({p[d] for _, p in own}):
+                n = sum(p[0] for _, p in own if p[d] == v)
+                if so_far + n >= total * share:
+                    take = so_far + n - total * share <= total * share - so_far
+                    border, below = (v, so_far + n) if take else (v - 1, so_far)
+                    break
+                so_far += n
+            off = abs(below / total - share)
+            if best is None or off < best[0] / 4:
+                best = (off, d, border)
+        _, d, border = best
+        split([x for x in own if x[1][d] <= border], a, half)
+        split([x for x in own if x[1][d] > border], half, b)
+
+    split(list(enumerate(points)), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [8, 5])
+def test_op4_is_the_tree(spark, sf, shards):
+    """Without slack the medians are exact, and every row is where the plain tree puts it."""
+    from tarnwork.llm.shards import DIMENSIONS, measure, tree
+
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    got = tree(measure(documents), shards, slack=0.0).toPandas()
+    points = [tuple(int(r[d]) for d in DIMENSIONS) for r in got.to_dict("records")]
+    want = brute_tree(points, shards)
+    assert got.shard.tolist() == [want[i] for i in range(len(got))]
+
+
+def test_op4_many_shards_and_long_texts(spark):
+    from tarnwork.llm.shards import assign
+
+    docs = [(i, f"text {i} " * (i % 17 + 1), "x") for i in range(400)] + [(900, "long " * 200_000, "y")]
+    got = assign(spark.createDataFrame(docs, "doc_id long, text string, node string"), shards=20).toPandas()
+    check_shards(got, [{"doc_id": a, "text": t} for a, t, _ in docs])
+    assert got.shard.between(0, 19).all() and got[got.doc_id == 900]["size"].item() == 1_000_001
+
+
 def test_op4_edges(spark):
     from tarnwork.llm.shards import assign
 
@@ -193,6 +249,17 @@ def test_op9_edges(spark):
     assert list(mixed.columns) == frame.columns
 
 
+def test_op9_long_text_at_the_cut(spark):
+    from tarnwork.llm.mixture import repeat, weigh
+
+    docs = [{"doc_id": 1, "text": "long " * 60_000, "source": "a"}, {"doc_id": 2, "text": "w " * 500_000, "source": "b"}]
+    frame = spark.createDataFrame([(d["doc_id"], d["text"], d["source"]) for d in docs], "doc_id long, text string, source string")
+    check_mixture(weigh(frame).toPandas(), docs)
+    taken = {r.doc_id: r.taken for r in weigh(frame).collect()}
+    words_ = {r.doc_id: r.n for r in repeat(frame).selectExpr("doc_id", "size(split(trim(text), ' ')) n").groupBy("doc_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert words_ == {k: v for k, v in taken.items() if v}
+
+
 def test_op9_rest_rounds_to_the_source(spark):
     from tarnwork.llm.mixture import repeat, weigh
 
@@ -426,6 +493,51 @@ def test_op10(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_op10_forward_pass_by_hand():
+    """Every position's states step by step, window by window, against the batched pass; texts shorter and longer than a window."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tarnwork.llm import language as L
+    from tarnwork.llm import words as W
+
+    model = L.train([b"the cat and the dog", "été après où".encode()] * 20, ["en", "fr"] * 20, rounds=10)
+    p, hidden = model.parts, model.parts["uf"].shape[0]
+    gate = lambda x: np.clip(x / 4 + 0.5, 0, 1)
+
+    def run(data, e, u):
+        h = np.zeros(hidden)
+        for b in data:
+            x, g = p[e][b].astype(float), h @ p[u].astype(float)
+            z, r = gate(x[:hidden] + g[:hidden]), gate(x[hidden : 2 * hidden] + g[hidden : 2 * hidden])
+            c = np.tanh(x[2 * hidden :] + r * g[2 * hidden :])
+            h = c + z * (h - c)
+        return h
+
+    texts = ["é", "the cat " * 3, "où est le chat? " * 4, ""]
+    core, margin = 16, 5
+    for text, got in zip(texts, L.distributions(model, *W.raw(pa.array(texts)), core, margin), strict=True):
+        data = text.encode()
+        total = np.zeros(2)
+        for i in range(len(data)):
+            start = i // core * core
+            ahead = run(data[max(0, start - margin) : i + 1], "ef", "uf")
+            back = run(data[i : min(len(data), min(start + core, len(data)) + margin)][::-1], "eb", "ub")
+            logits = ahead @ p["w"][:hidden] + back @ p["w"][hidden:] + p["b"]
+            total += np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert np.allclose(got, total / max(1, len(data)), atol=1e-4)
+
+
+def test_op10_long_text_and_prefixes(spark):
+    """A text whose beginning is in one language and whose bulk is in another is judged by all of it."""
+    from tarnwork.llm.language import predict, train
+
+    model = train([b"the cat and the dog sat on the mat", "été après où est le garçon qui".encode()] * 20, ["en", "fr"] * 20, rounds=60)
+    text = "the cat and the dog " * 200 + "été après où est le garçon " * 20_000
+    got = predict(spark.createDataFrame([(1, text), (2, text[:4000])], "doc_id long, text string"), model).toPandas().set_index("doc_id")
+    assert got.lang_pred[1] == "fr" and got.lang_pred[2] == "en"
+
+
 def test_op10_edges(spark):
     from tarnwork.llm.language import Model, predict, readable, train
 
@@ -463,8 +575,8 @@ def test_stages_keep_odd_columns(spark, sf):
     import corpus_pipeline as P
 
     rows_ = [(1, "the cat sat on the mat again today", "en", "a", 1, "k"), (1, "the cat sat on the mat again today", "en", "a", 1, "k"), (None, "another quite different text with words", None, None, 2, "l"), (3, None, "en", "b", None, "m"), (4, "", None, "b", 3, "n"), (5, "short", "fr", None, 4, "o")]
-    names = "doc_id long, text string, lang string, source string, n_chars long, _h string, size int, hash int, key int, node int, target int, row int, _x int, shard int"
-    docs = spark.createDataFrame([(*r, *[7] * 8) for r in rows_], names)
+    names = "doc_id long, text string, lang string, source string, n_chars long, _h string, size int, hash int, key int, node int, target int, row int, _mix_size int, _own0 int, shard int"
+    docs = spark.createDataFrame([(*r, *[7] * 9) for r in rows_], names)
     for _, stage in P.STAGES[:4]:
         for frame in (docs, docs.limit(0)):
             got = stage(spark, frame, sf)
@@ -542,6 +654,20 @@ def test_op6_edges(spark):
     assert warc.archive(frame.limit(0)).count() == 0
 
 
+def test_op6_many_files(spark, tmp_path):
+    """Files are closed at a size: many small archives hold what one would."""
+    from tarnwork.llm import warc
+
+    pages = [(i, f"http://a.example/{i}", f"<p>{i % 40}</p>" * 30) for i in range(120)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    path = f"file://{tmp_path}/warc"
+    manifest = warc.write(frame, path, file_bytes=1_000)
+    assert manifest.count() > 20 and manifest.agg({"captures": "sum"}).first()[0] == 120
+    got = warc.assemble(warc.records(spark, path, manifest)).toPandas()
+    assert plain(got, COLUMNS6) == brute_warc([{"page_id": i, "html": h} for i, _, h in pages])
+    assert all(len(r) == 1 and len(m) == 1 for r, m in zip(got.requests, got.metadata, strict=True))
+
+
 def brute_vectors(vectors, least=0.93):
     import numpy as np
 
