@@ -2,21 +2,23 @@
 
 Nodes split along their widest dimension at its byte-weighted median until there are as many leaves as
 shards, that is until every leaf holds about the target bytes. A node's width in a dimension is its range
-over the whole table's range. Medians are found by narrowing histograms, so a split sends a bounded number
-of sums to the driver however many rows there are.
+over the whole table's range. Medians are found by narrowing histograms: bins are summed, accumulated and cut in tasks, and one row a
+node reaches the driver, so it holds a few numbers a shard however many rows there are. Nodes' numbers go to the rows by broadcast,
+at most one row a shard.
 
 All dimensions come from the text (bytes, code points, CRC-32), so equal texts have equal coordinates and
-stay in one shard. If a group of copies is so large that no split along any dimension can be near even, its
-node is split by doc_id instead (the last dimension), which is the only case where copies part.
+stay in one shard. A split that misses its share by more than ``4 * SLACK``, because one value holds much of the node, gives way to the next widest
+dimension if that one is clearly nearer. If a group of copies is so large that no split along any dimension comes within ``UNEVEN`` of its
+share, its node is split by doc_id instead (the last dimension): sizes stay near equal, as the law asks, and only then do copies part.
 
-Null text is empty: size 1, CRC-32 0. Repeated rows are kept; an empty table gives an empty result.
+Null text is empty: size 1, CRC-32 0. Rows that tie in every dimension, such as rows repeated in full, are in one shard; their slots follow
+doc_id and then CRC-32. A very long text counts whole and is never cut. An empty table gives an empty result. Extra columns, whatever their
+names, stay out of it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise, running_total
@@ -35,31 +37,31 @@ def measure(documents: DataFrame) -> DataFrame:
     )
 
 
-def _any(pairs: list[tuple[Column, Column]]) -> Column:
-    first, *rest = pairs
-    return reduce(lambda so_far, x: so_far.when(x[0], x[1]), rest, F.when(*first))
+def _value(d: Column | str) -> Column:
+    return F.element_at(F.array(*DIMENSIONS), F.col(d) + 1)
+
 
+def _spans() -> list[Column]:
+    return [f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
 
-def _medians(rows: DataFrame, wanted: dict[int, tuple[int, int, int, int, float]]) -> dict[int, tuple[int, int]]:
-    """For each node (dimension, low, high, total bytes, share): the largest value of its lower part and that part's bytes."""
-    state = {k: {"d": d, "low": low, "high": high, "before": 0, "aim": total * share, "total": total} for k, (d, low, high, total, share) in wanted.items()}
+
+def _medians(rows: DataFrame, wanted: list[tuple], slack: float = SLACK) -> dict[int, tuple[int, int]]:
+    """For each (node, dimension, low, high, total bytes, share): the largest value of its lower part and that part's bytes."""
+    spark = rows.sparkSession
+    state = {k: {"d": d, "low": low, "high": high, "before": 0, "aim": total * share, "total": total} for k, d, low, high, total, share in wanted}
     done: dict[int, tuple[int, int]] = {}
     while state:
-        value = _any([(F.col("node") == k, F.col(DIMENSIONS[s["d"]])) for k, s in state.items()])
-        low = _any([(F.col("node") == k, F.lit(s["low"])) for k, s in state.items()])
-        step = _any([(F.col("node") == k, F.lit(max(1, -(-(s["high"] - s["low"] + 1) // BINS)))) for k, s in state.items()])
-        inside = reduce(lambda a, b: a | b, [(F.col("node") == k) & F.col(DIMENSIONS[s["d"]]).between(s["low"], s["high"]) for k, s in state.items()])
-        sums = rows.filter(inside).groupBy("node", F.floor((value - low) / step).alias("bin")).agg(F.sum("size").alias("n")).collect()  # at most BINS rows a node
+        steps = {k: max(1, -(-(s["high"] - s["low"] + 1) // BINS)) for k, s in state.items()}
+        table = spark.createDataFrame([(k, s["d"], s["low"], s["high"], steps[k], float(s["aim"] - s["before"])) for k, s in state.items()], "node int, d int, low long, high long, step long, aim double")
+        inside = rows.join(F.broadcast(table), "node").withColumn("v", _value("d")).filter("v between low and high")  # at most one row a shard
+        sums = inside.groupBy("node", F.floor((F.col("v") - F.col("low")) / F.col("step")).cast("long").alias("bin"), "aim").agg(F.sum("size").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("node").orderBy("bin"))  # at most BINS rows a node
+        cut = sums.withColumn("upto", upto).filter("upto >= aim").groupBy("node").agg(F.min(F.struct("bin", "n", "upto")).alias("c"))
+        found = {r.node: r.c for r in cut.collect()}  # one row a node
         for k, s in list(state.items()):
-            width, so_far, cut = max(1, -(-(s["high"] - s["low"] + 1) // BINS)), s["before"], None
-            for b, n in sorted((r.bin, r.n) for r in sums if r.node == k):
-                if so_far + n >= s["aim"]:
-                    cut = (b, n)
-                    break
-                so_far += n
-            b, n = cut if cut else (0, 0)
-            low, high = s["low"] + b * width, min(s["high"], s["low"] + (b + 1) * width - 1)
-            if low < high and n > SLACK * s["total"]:
+            b, n, so_far = (found[k].bin, found[k].n, s["before"] + found[k].upto - found[k].n) if k in found else (0, 0, s["before"])
+            low, high = s["low"] + b * steps[k], min(s["high"], s["low"] + (b + 1) * steps[k] - 1)
+            if low < high and n > slack * s["total"]:
                 s |= {"low": low, "high": high, "before": so_far}
                 continue
             # the border before or after this bin, whichever is nearer to the aim
@@ -69,54 +71,52 @@ def _medians(rows: DataFrame, wanted: dict[int, tuple[int, int, int, int, float]
     return done
 
 
-def tree(rows: DataFrame, shards: int = SHARDS) -> list[tuple[list[tuple[str, int, bool]], int]]:
-    """Leaves as (path of (dimension, border, below), shard)."""
-    spans = rows.agg(*[f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]).first()
+def tree(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
+    """The rows with their shard."""
+    spark = rows.sparkSession
+    spans = rows.agg(*_spans()).first()
     root = {d: max(1, (spans[f"{d}_high"] or 0) - (spans[f"{d}_low"] or 0)) for d in DIMENSIONS}
-    nodes: dict[int, dict] = {0: {"path": [], "shards": (0, shards)}}
-    leaves = []
-    while nodes:
-        for k, x in list(nodes.items()):
-            if x["shards"][1] - x["shards"][0] == 1:
-                leaves.append((x["path"], x["shards"][0]))
-                del nodes[k]
-        if not nodes:
-            break
-        at = _any([(inside(x["path"]), F.lit(k)) for k, x in nodes.items()])
-        here = rows.withColumn("node", at).filter("node is not null")
-        found = {r.node: r for r in here.groupBy("node").agg(F.sum("size").alias("total"), *[f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]).collect()}
-        order = {k: sorted(range(FROM_TEXT), key=lambda i, r=r: -((r[f"{DIMENSIONS[i]}_high"] - r[f"{DIMENSIONS[i]}_low"]) / root[DIMENSIONS[i]])) + [FROM_TEXT] for k, r in found.items()}
-        share = {k: ((x["shards"][1] - x["shards"][0]) // 2) / (x["shards"][1] - x["shards"][0]) for k, x in nodes.items()}
+    here, nodes, level = rows.withColumn("node", F.lit(0)), {0: (0, shards)}, 0
+    while any(b - a > 1 for a, b in nodes.values()):
+        open_ = {k: x for k, x in nodes.items() if x[1] - x[0] > 1}
+        found = {r.node: r for r in here.groupBy("node").agg(F.sum("size").alias("total"), *_spans()).collect() if r.node in open_}  # one row a shard at most
+        width = lambda r, i: (r[f"{DIMENSIONS[i]}_high"] - r[f"{DIMENSIONS[i]}_low"]) / root[DIMENSIONS[i]]
+        order = {k: sorted(range(FROM_TEXT), key=lambda i, r=r: -width(r, i)) + [FROM_TEXT] for k, r in found.items()}
+        share = {k: ((b - a) // 2) / (b - a) for k, (a, b) in open_.items()}
         best: dict[int, tuple[float, int, int]] = {}
         for turn in range(len(DIMENSIONS)):
-            limit = UNEVEN if turn == FROM_TEXT else 4 * SLACK
-            open_ = {k: order[k][turn] for k in found if k not in best or best[k][0] > limit}
-            if not open_:
+            limit = UNEVEN if turn == FROM_TEXT else 4 * slack
+            again = [k for k in found if k not in best or best[k][0] > limit]
+            if not again:
                 break
-            cuts = _medians(here, {k: (d, found[k][f"{DIMENSIONS[d]}_low"], found[k][f"{DIMENSIONS[d]}_high"], found[k].total, share[k]) for k, d in open_.items()})
+            at = {k: order[k][turn] for k in again}
+            cuts = _medians(here, [(k, at[k], found[k][f"{DIMENSIONS[at[k]]}_low"], found[k][f"{DIMENSIONS[at[k]]}_high"], found[k].total, share[k]) for k in again], slack)
             for k, (border, below) in cuts.items():
                 off = abs(below / found[k].total - share[k])
                 # a later dimension is used only if it is clearly nearer to even
                 if k not in best or off < best[k][0] / 4:
-                    best[k] = (off, open_[k], border)
-        new = {}
-        for k, x in nodes.items():
-            _, d, border = best.get(k, (0.0, 0, 0))
-            a, b = x["shards"]
+                    best[k] = (off, at[k], border)
+        splits, grown = [], {}
+        for k, (a, b) in nodes.items():
+            d, border = best[k][1:] if k in best else (0, 0)
             half = a + (b - a) // 2
-            for below, part in ((True, (a, half)), (False, (half, b))):
-                new[2 * k + 1 + (not below)] = {"path": [*x["path"], (DIMENSIONS[d], border, below)], "shards": part}
-        nodes = new
-    return leaves
-
-
-def inside(path: list[tuple[str, int, bool]]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(d) <= border if below else F.col(d) > border for d, border, below in path], F.lit(True))
-
-
-def assign(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
+            if b - a == 1:  # a leaf goes on as its own left child
+                splits.append((k, 0, (1 << 62)))
+                grown[2 * k + 1] = (a, b)
+            else:
+                splits.append((k, d, border))
+                grown[2 * k + 1], grown[2 * k + 2] = (a, half), (half, b)
+        table = F.broadcast(spark.createDataFrame(splits, "node int, _d int, _border long"))  # at most one row a shard
+        here = here.join(table, "node").withColumn("node", 2 * F.col("node") + 1 + (_value("_d") > F.col("_border")).cast("int")).drop("_d", "_border")
+        nodes, level = grown, level + 1
+        if level % 4 == 0:
+            here = materialise(here, "shards-nodes")
+    leaves = spark.createDataFrame([(k, a) for k, (a, _) in nodes.items()], "node int, shard int")
+    return here.join(F.broadcast(leaves), "node").drop("node")  # one row a shard
+
+
+def assign(documents: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under law ``bytes``)."""
-    rows = materialise(measure(documents), "shards-measured")
-    placed = rows.withColumn("shard", _any([(inside(path), F.lit(shard)) for path, shard in tree(rows, shards)]))
+    placed = tree(materialise(measure(documents), "shards-measured"), shards, slack)
     slotted = running_total(placed, "shard", ["doc_id", "text_crc32"], F.lit(1), "slot", "shards-ranged")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
