@@ -10,8 +10,9 @@ The trees are fitted here on labelled sentences made by a seeded rule (``SENTENC
 through the same generators, so training never depends on the input's size.
 
 Patterns are written so that Java's matcher takes linear time: runs are possessive, and a match may begin inside a run only
-where the previous match ended. Null text is empty; each row is judged by itself, so repeated rows have repeated
-results; extra columns stay out of the result.
+where the previous match ended; sums run in blocks and overlaps are found by bisection, so a very long text takes time in proportion
+to its length but for a logarithm. Null text is empty; each row is judged by itself, so repeated rows have repeated results; of spans that
+begin at one place the order is that of the kinds. An empty table gives an empty result; extra columns, whatever their names, stay out of it.
 """
 
 from __future__ import annotations
@@ -113,6 +114,19 @@ def _valid(x: Column) -> Column:
     )
 
 
+def _overlaps(spans: Column, x: Column) -> Column:
+    """Whether x overlaps one of the spans, which are apart and in order: the last one that begins before x ends is found by bisection."""
+
+    def halve(s, _):
+        middle = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        before = F.coalesce(F.get(spans, middle - 1)["start"] < x["end"], F.lit(False))
+        return F.when(s["low"] >= s["high"], s).when(before, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (middle - 1).alias("high")))
+
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    place = F.aggregate(turns, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda s: s["low"])
+    return F.coalesce(F.get(spans, place - 1)["end"] > x["start"], F.lit(False))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, the text, valid base spans, and the other candidates that overlap none of their kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -121,8 +135,9 @@ def candidates(documents: DataFrame) -> DataFrame:
     checked = found.withColumn("_b", F.transform("_b", lambda x: x.withField("base", _valid(x))))
     base = F.filter("_b", lambda x: x["base"])
     split = checked.withColumn("base", F.array_sort(base)).withColumn("_f", F.filter("_b", lambda x: ~x["base"] & (F.length(x["m"]) >= 7)))
+    split = split.withColumn("_k", F.array(*[F.filter("base", lambda b, k=k: b["kind"] == k) for k in range(len(KINDS))]))
     # One candidate a place: failed base matches and loose ones may overlap, and the trees see both.
-    apart = F.filter(F.concat("_f", "_l"), lambda x: ~F.exists("base", lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    apart = F.when(F.size("base") == 0, F.concat("_f", "_l")).otherwise(F.filter(F.concat("_f", "_l"), lambda x: ~_overlaps(F.get("_k", x["kind"]), x)))
     return split.select("doc_id", "text", "base", F.array_sort(apart).alias("more"))
 
 
@@ -203,10 +218,10 @@ def find(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def spans(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and private: whether anything is to be redacted."""
     found = find(documents, threshold)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("chosen")).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("chosen")).alias("spans"), (F.size("chosen") > 0).alias("private"))
 
 
 def redact(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
