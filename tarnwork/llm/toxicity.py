@@ -6,10 +6,11 @@ logarithm of their distance. Features are hashed words that occur in a text (pre
 lookup a word and a text's length adds nothing by itself; buckets seen in fewer than ``SEEN`` sampled documents have no weight.
 L1 shrinkage leaves few weights.
 
-Learning uses at most ``SAMPLE`` labelled documents, those with the smallest hash of their id; scoring reads all whole
+Learning uses at most ``SAMPLE`` labels, those with the smallest hash of their id; scoring reads all whole
 texts. Null and empty texts have no features and get the grade distribution of an empty text. Repeated rows are
-scored one by one; several labels of one id are each an example. Without labels every score is 0. Extra columns
-stay out of the result.
+scored one by one; several labels of one id are each an example, and of several documents of one id the one with the smallest hash
+of its text is learned from. Without labels every score is 0. An empty table gives an empty result. Extra columns, whatever their
+names, stay out of it.
 """
 
 from __future__ import annotations
@@ -88,27 +89,31 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     """Learns from at most ``sample`` labelled documents."""
     ship(documents.sparkSession)
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
-    chosen = labels.filter("toxic is not null and doc_id is not null").select("doc_id", grade.alias("_grade"), F.xxhash64(F.lit(SEED), "doc_id").alias("_h")).orderBy("_h", "_grade").limit(sample)
+    chosen = labels.filter("toxic is not null and doc_id is not null").select("doc_id", grade.alias("grade"), F.xxhash64(F.lit(SEED), "doc_id").alias("h")).orderBy("h", "grade").limit(sample)
+    chosen = chosen.groupBy("doc_id", "grade", "h").agg(F.count(F.lit(1)).alias("times"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
                 row, bucket = buckets(part.column(0))
                 at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["grade", "h", "words"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["h", "grade", "times", "tie", "words"])
 
-    # At most ``sample`` small rows are sent to all executors, whatever the tables' sizes.
-    joined = documents.filter("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "_grade", "_h")
-    found = joined.mapInArrow(encode, "grade int, h long, words array<int>").orderBy("h", "grade", "words").limit(2 * sample).toArrow()
+    # At most ``sample`` small rows are sent to all executors, whatever the tables' sizes, and as many come back.
+    source = documents.filter("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    joined = source.join(F.broadcast(chosen), "doc_id").select("text", "h", "grade", "times", F.xxhash64("text").alias("tie"))
+    coded = joined.mapInArrow(encode, "h long, grade int, times long, tie long, words array<int>")
+    found = coded.groupBy("h", "grade", "times").agg(F.min_by("words", "tie").alias("words")).orderBy("h", "grade").toArrow()
     if found.num_rows == 0:
         return None
-    words = found.column("words").combine_chunks()
+    times = np.repeat(np.arange(found.num_rows), found.column("times").to_numpy())
+    words = found.column("words").combine_chunks().take(pa.array(times))
     lengths = np.array([len(x) for x in words])
     rows, columns = np.repeat(np.arange(len(lengths)), lengths), words.flatten().to_numpy()
     often = np.bincount(columns, minlength=1 << BITS) >= SEEN
     keep = often[columns]
     named = np.flatnonzero(often)
-    model = fit_ordinal(rows[keep], np.searchsorted(named, columns[keep]), found.column("grade").to_numpy().astype(np.int64), len(named))
+    model = fit_ordinal(rows[keep], np.searchsorted(named, columns[keep]), found.column("grade").to_numpy()[times].astype(np.int64), len(named))
     weights = np.zeros(1 << BITS)
     weights[named] = model.weights
     return Model(weights, model.borders)
