@@ -9,8 +9,9 @@ documents in the order of a seeded hash: each is taken once more in whole until
 the one at the cut gives its first words only (a fractional repetition), so a source's taken words meet
 its target to within a few words. The cut is found by narrowing bins of the hash, never by sorting a source.
 
-Null text has size 0; null source is a source of its own, last in order. Rows with equal doc_id and text
-tie and are treated alike. An empty table gives an empty result. Extra columns stay out of the result.
+Null text has size 0, takes nothing and is not in the mixed corpus; null source is a source of its own, last in order. Rows with equal
+doc_id and text tie and are treated alike. A very long text at the cut gives its first words like any other. An empty table gives an empty
+result. Extra columns stay out of the weights, and go on unchanged in the mixed corpus, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import free_names, materialise
 
 WEIGHTS, EPOCHS, SEED = (5.0, 2.0, 1.0), 3, 17
 BITS = 12  # of the hash in each narrowing step
@@ -106,10 +107,12 @@ def weigh(documents: DataFrame) -> DataFrame:
 
 def repeat(documents: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as it is taken; the fractional repetition holds its first words."""
-    mixed = mix(documents)
+    clash = [c for c in documents.columns if c.lower().startswith("_mix_")]
+    free = dict(zip(clash, free_names(documents.columns, len(clash)), strict=True))
+    mixed = mix(documents.withColumnsRenamed(free))
     times = F.when(F.col("_mix_size") > 0, F.ceil(F.col("_mix_taken") / F.col("_mix_size"))).otherwise(0).cast("int")
     many = mixed.withColumn("_mix_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
     short = F.col("_mix_taken") - (F.col("_mix_copy") - 1) * F.col("_mix_size")
     text = F.when(short < F.col("_mix_size"), F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), short.cast("string"), F.lit("}+")), F.lit(0))).otherwise(F.col("text"))
     columns = {"text": text} | ({"n_chars": F.when(short < F.col("_mix_size"), F.length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
-    return many.withColumns(columns).select(*documents.columns)
+    return many.withColumns(columns).select(*[F.col(free.get(c, c)).alias(c) for c in documents.columns])
