@@ -164,8 +164,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
     def stars(e: DataFrame) -> bool:
         """Whether every node has one neighbour below it and that neighbour has none: nothing is left to join."""
-        bad = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("m")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("m")).distinct())
-        return bad.groupBy("u").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > 1 or (n > 0 and m > 0)").isEmpty()
+        ends = e.select("u", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("m")))
+        return ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("m").alias("m")).filter("n > 1 or (n > 0 and m > 0)").isEmpty()
 
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
     while not stars(edges):
