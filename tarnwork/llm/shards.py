@@ -18,7 +18,8 @@ names, stay out of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import materialise, running_total
@@ -41,6 +42,11 @@ def _value(d: Column | str) -> Column:
     return F.element_at(F.array(*DIMENSIONS), F.col(d) + 1)
 
 
+def _table(spark: SparkSession, rows: list[tuple], **kinds) -> DataFrame:
+    """A few rows as a local relation, whose broadcast needs no job."""
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds.items())}))
+
+
 def _spans() -> list[Column]:
     return [f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
 
@@ -52,7 +58,7 @@ def _medians(rows: DataFrame, wanted: list[tuple], slack: float = SLACK) -> dict
     done: dict[int, tuple[int, int]] = {}
     while state:
         steps = {k: max(1, -(-(s["high"] - s["low"] + 1) // BINS)) for k, s in state.items()}
-        table = spark.createDataFrame([(k, s["d"], s["low"], s["high"], steps[k], float(s["aim"] - s["before"])) for k, s in state.items()], "node int, d int, low long, high long, step long, aim double")
+        table = _table(spark, [(k, s["d"], s["low"], s["high"], steps[k], float(s["aim"] - s["before"])) for k, s in state.items()], node=pa.int32(), d=pa.int32(), low=pa.int64(), high=pa.int64(), step=pa.int64(), aim=pa.float64())
         inside = rows.join(F.broadcast(table), "node").withColumn("v", _value("d")).filter("v between low and high")  # at most one row a shard
         sums = inside.groupBy("node", F.floor((F.col("v") - F.col("low")) / F.col("step")).cast("long").alias("bin"), "aim").agg(F.sum("size").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("node").orderBy("bin"))  # at most BINS rows a node
@@ -106,12 +112,12 @@ def tree(rows: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFra
             else:
                 splits.append((k, d, border))
                 grown[2 * k + 1], grown[2 * k + 2] = (a, half), (half, b)
-        table = F.broadcast(spark.createDataFrame(splits, "node int, _d int, _border long"))  # at most one row a shard
+        table = F.broadcast(_table(spark, splits, node=pa.int32(), _d=pa.int32(), _border=pa.int64()))  # at most one row a shard
         here = here.join(table, "node").withColumn("node", 2 * F.col("node") + 1 + (_value("_d") > F.col("_border")).cast("int")).drop("_d", "_border")
         nodes, level = grown, level + 1
         if level % 4 == 0:
             here = materialise(here, "shards-nodes")
-    leaves = spark.createDataFrame([(k, a) for k, (a, _) in nodes.items()], "node int, shard int")
+    leaves = _table(spark, [(k, a) for k, (a, _) in nodes.items()], node=pa.int32(), shard=pa.int32())
     return here.join(F.broadcast(leaves), "node").drop("node")  # one row a shard
 
 
