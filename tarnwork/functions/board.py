@@ -22,7 +22,12 @@ OTHER_LETTERS = {"h": "n", "e": "b"}
 FILES = "abcdefghi"
 
 
-# What a FEN says, in the JVM
+# What a FEN says, in the JVM. A column's expression is copied wherever it is used, so each function uses its argument once.
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def squares(fen: Column) -> Column:
@@ -31,7 +36,8 @@ def squares(fen: Column) -> Column:
     for n in range(1, 10):
         board = F.replace(board, F.lit(str(n)), F.lit("." * n))
     board = F.translate(board, "heHE", "nbNB")
-    return F.when(board.rlike(r"^(?:[.racpnbkRACPNBK]{9}/){9}[.racpnbkRACPNBK]{9}$"), F.replace(board, F.lit("/"), F.lit("")))
+    whole = F.regexp_extract_all(board, F.lit(r"^(?:[.racpnbkRACPNBK]{9}/){9}[.racpnbkRACPNBK]{9}$"), F.lit(0))
+    return F.replace(F.get(whole, F.lit(0)), F.lit("/"), F.lit(""))
 
 
 def piece_map(fen: Column) -> Column:
@@ -42,16 +48,15 @@ def piece_map(fen: Column) -> Column:
 
 
 def count(fen: Column, piece: str) -> Column:
-    s = squares(fen)
-    return F.length(s) - F.length(F.replace(s, F.lit(piece), F.lit("")))
+    return F.lit(90) - F.length(F.replace(squares(fen), F.lit(piece), F.lit("")))
 
 
 def material(fen: Column) -> Column:
     """Points of both sides together."""
-    total = F.lit(0)
+    marks = F.replace(F.lower(squares(fen)), F.lit("."), F.lit(""))
     for piece, points in POINTS.items():
-        total = total + (count(fen, piece) + count(fen, piece.upper())) * points
-    return total
+        marks = F.replace(marks, F.lit(piece), F.lit("+" * points))
+    return F.length(marks)
 
 
 def mirror_fen(fen: Column) -> Column:
@@ -89,14 +94,16 @@ WIDTH = (61.99287416, -233.72674182, 325.85508322, -68.72720854)
 def score_probability(points: Column, kind: Column, score: Column, wdl: Column | None = None) -> Column:
     """The mover's expected result, 0 to 1: from win, draw and loss in permille if given; a mate score is 1 or 0; centipawns go through the curve."""
 
-    def polynomial(c):
-        m = F.greatest(F.lit(17), F.least(F.lit(110), points)) / 65.0
+    def polynomial(c, m):
         return ((F.lit(c[0]) * m + c[1]) * m + c[2]) * m + c[3]
 
-    a, b = polynomial(MIDDLE), polynomial(WIDTH)
-    inner = score * a / 100.0
-    won = lambda x: F.floor(0.5 + 1000 / (1 + F.exp(F.greatest(F.lit(-80.0), F.least(F.lit(80.0), (a - x) / b)))))
-    curve = (won(inner) + (1000 - won(inner) - won(-inner)) / 2) / 1000.0
+    def results(c):
+        won = lambda x: F.floor(0.5 + 1000 / (1 + F.exp(F.greatest(F.lit(-80.0), F.least(F.lit(80.0), (c["a"] - x) / c["b"])))))
+        return _let(score * c["a"] / 100.0, lambda x: F.struct(won(x).alias("win"), won(-x).alias("loss")))
+
+    m = F.greatest(F.lit(17), F.least(F.lit(110), points)) / 65.0
+    shape = _let(m, lambda m: F.struct(polynomial(MIDDLE, m).alias("a"), polynomial(WIDTH, m).alias("b")))
+    curve = _let(_let(shape, results), lambda r: (r["win"] + (1000 - r["win"] - r["loss"]) / 2) / 1000.0)
     found = F.when(kind == "mate", F.when(score > 0, 1.0).otherwise(0.0)).when(kind == "cp", curve)
     if wdl is None:
         return found

@@ -81,6 +81,20 @@ def test_score_probability_by_hand(spark):
     assert got[:2] == pytest.approx([by_hand(110, 35), by_hand(5, -900)]) and got[2:] == [1.0, 0.0, 0.35, None, None]
 
 
+def test_a_position_is_read_once(spark):
+    """An argument used many times over made plans that compiled for minutes; each function holds it once."""
+    fen = F.concat(F.col("board"), F.lit(" w - - 0 1"))
+    points = B.material(fen)
+    for made in (B.squares(fen), B.count(fen, "R"), points, B.score_probability(points, F.lit("cp"), F.lit(35))):
+        assert str(made).count("board") == 1
+    boards = ["rheakaehr/9/1c5c1/p1p1p1p1p/9/9/P1P1P1P1P/1C5C1/9/RNBAKABNR", "R8/9/9/9/4k4/9/4K4/9/9/8R", "9/9", "9x/9/9/9/9/9/9/9/9/9", "", None]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(boards)], "i int, board string")
+    score = B.score_probability(F.lit(0) + points, F.lit("cp"), F.lit(0))
+    got = frame.select("i", B.count(fen, "R").alias("n"), points.alias("points"), score.alias("p")).orderBy("i").collect()
+    assert [(r.n, r.points) for r in got] == [(2, 110), (2, 20), (None, None), (None, None), (None, None), (None, None)]
+    assert [r.p for r in got[:2]] == [0.5, 0.5]
+
+
 def test_keys_are_json(spark):
     items = [["a", "b"], ['a", "b'], ["é", "棋", "😀"], ["\\", "\n\t\x01\x7f", ""], [], [None, "x"]]
     got = [r.k for r in spark.createDataFrame([(i,) for i in items], "h array<string>").select(K.history_key(F.col("h")).alias("k")).collect()]
