@@ -22,7 +22,7 @@ OTHER_LETTERS = {"h": "n", "e": "b"}
 FILES = "abcdefghi"
 
 
-# What a FEN says, in the JVM. A column's expression is copied wherever it is used, so each function uses its argument once.
+# What a FEN says, in the JVM. A column's expression is copied wherever it is used, so `squares` and what is built on it use their argument once.
 
 
 def _let(value: Column, then) -> Column:
@@ -42,9 +42,9 @@ def squares(fen: Column) -> Column:
 
 def piece_map(fen: Column) -> Column:
     """square -> piece; null for what is no board."""
-    s = squares(fen)
-    entry = lambda i: F.struct(F.concat(F.substring(F.lit(FILES), i % 9 + 1, F.lit(1)), (F.lit(9) - F.floor(i / 9)).cast("string")).alias("k"), F.substring(s, i + 1, F.lit(1)).alias("v"))
-    return F.when(s.isNotNull(), F.map_from_entries(F.filter(F.transform(F.sequence(F.lit(0), F.lit(89)), entry), lambda e: e["v"] != ".")))
+    names = F.array(*[F.lit(f"{FILES[i % 9]}{9 - i // 9}") for i in range(90)])
+    places = F.zip_with(names, F.split(squares(fen), ""), lambda k, v: F.when(v != ".", F.struct(k.alias("k"), v.alias("v"))))
+    return F.map_from_entries(F.array_compact(places))
 
 
 def count(fen: Column, piece: str) -> Column:

@@ -43,8 +43,8 @@ def sql_positions() -> str:
     select p.event_id, count(x) as n_pieces, coalesce(string_agg(x, ' ' order by x), '') as pieces from p left join s on s.event_id = p.event_id group by p.event_id""")
 def board_decode(t: Tables):
     entries = F.map_entries(B.piece_map(F.col("fen")))
-    named = F.array_sort(F.transform(entries, lambda e: F.concat(e["key"], e["value"])))
-    return positions(t).select("event_id", F.size(named).cast("long").alias("n_pieces"), F.array_join(named, " ").alias("pieces"))
+    named = F.sort_array(F.transform(entries, lambda e: F.concat(e["key"], e["value"])))
+    return positions(t).select("event_id", named.alias("named")).select("event_id", F.size("named").cast("long").alias("n_pieces"), F.array_join("named", " ").alias("pieces"))
 
 
 @query(f"""with {sql_positions()}, r as (select event_id, string_agg(substr(b, 9 * k + 1, 9), '' order by k desc) as m from p, unnest(range(0, 10)) as u(k) group by event_id)

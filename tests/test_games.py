@@ -95,6 +95,15 @@ def test_a_position_is_read_once(spark):
     assert [r.p for r in got[:2]] == [0.5, 0.5]
 
 
+def test_a_piece_map_reads_its_position_once(spark):
+    """The board was decoded anew for each of its 90 places."""
+    fen = F.concat(F.col("board"), F.lit(" w - - 0 1"))
+    assert str(B.piece_map(fen)).count("board") == 1
+    boards = ["r7R/9/9/h8/4k4/9/4K4/8E/9/P7p", "9/9/9/9/9/9/9/9/9/9", "9/9", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(boards)], "i int, board string").select("i", B.piece_map(fen).alias("m")).orderBy("i").collect()
+    assert [r.m for r in got] == [{"a9": "r", "i9": "R", "a6": "n", "e5": "k", "e3": "K", "i2": "B", "a0": "P", "i0": "p"}, {}, None, None]
+
+
 def test_keys_are_json(spark):
     items = [["a", "b"], ['a", "b'], ["é", "棋", "😀"], ["\\", "\n\t\x01\x7f", ""], [], [None, "x"]]
     got = [r.k for r in spark.createDataFrame([(i,) for i in items], "h array<string>").select(K.history_key(F.col("h")).alias("k")).collect()]
