@@ -35,20 +35,24 @@ def row_index_build(t: Tables):
     return index.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("feature_key").alias("n_features"), F.sum("length").cast("long").alias("bytes"))
 
 
+#: Half precision holds whole numbers up to 2,048 and no text has 2,048**3 letters, so a count is stored as three digits, lowest first.
+BASE, DIGITS = 2048, 3
+
+
 def _counts(texts):
-    return [[len(x), x.count("e"), x.count(" ")] for x in texts]
+    return [[n // BASE**k % BASE for n in (len(x), x.count("e"), x.count(" ")) for k in range(DIGITS)] for x in texts]
 
 
 @query("""with r as (select sha256(text) as h, text, doc_id % 4 = 0 as base from documents), d as (select h, min(text) as text, bool_or(base) as base from r group by h)
     select h, case when base then 0 else 1 end as block, length(text) as n, length(text) - length(replace(text, 'e', '')) as n_e, length(text) - length(replace(text, ' ', '')) as n_space from d""")
 def feature_extraction(t: Tables):
-    """A base block, then the features of all other texts, each text once."""
-    store = features.create(t.spark, records.scratch(t.spark), 3)
-    texts = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "text")
+    """A base block, then the features of all other texts, each text once. Null texts are one text, with no features; its key is empty."""
+    store = features.create(t.spark, records.scratch(t.spark), 3 * DIGITS)
+    texts = t.documents.select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     features.extract(store, texts.filter("doc_id % 4 = 0"), "h", "text", _counts)
     features.extract(store, texts, "h", "text", _counts)
-    part = lambda i: F.col("feature")[i].cast("long")
-    return store.read().select(F.col("key").alias("h"), "block", part(0).alias("n"), part(1).alias("n_e"), part(2).alias("n_space"))
+    part = lambda i: F.when(F.col("key") != "", sum(F.col("feature")[DIGITS * i + k].cast("long") * BASE**k for k in range(DIGITS)))
+    return store.read().select(F.nullif("key", F.lit("")).alias("h"), "block", part(0).alias("n"), part(1).alias("n_e"), part(2).alias("n_space"))
 
 
 @query("""select vec_id, cast(case when vec_id % 3 = 0 then 0 when vec_id % 3 = 1 then 1 else 2 end as int) as block, round(cast(embedding[1] as double), 5) as first from embeddings""")

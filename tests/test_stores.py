@@ -202,3 +202,18 @@ def test_groups_are_processed_in_order_and_put_back(spark):
         total[g] = total.get(g, 0.0) + v
         want.append((i, g, v, total[g]))
     assert [tuple(r) for r in got] == want
+
+
+def test_features_of_long_and_null_texts(spark, tmp_path):
+    """Counts beyond half precision and beyond two digits of base 2,048; null texts are a group of their own, as in SQL."""
+    import duckdb
+
+    from tarnwork import plans
+
+    texts = [(1, "e" * 2048), (2, "e" * 65_520), (3, "é e" * 50_000), (4, "e " * 2_200_000), (5, "e" * 65_520), (8, ""), (9, None), (12, None), (13, "x")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = plans.QUERIES["feature_extraction"](spark, f"file://{tmp_path}").select("h", "block", "n", "n_e", "n_space").collect()
+    documents = duckdb.read_parquet(f"{tmp_path}/documents.parquet/*.parquet")  # noqa: F841
+    want = duckdb.sql(f"select h, block, n, n_e, n_space from ({plans.ORACLES['feature_extraction']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) == 7
+    assert (None, 0, None, None, None) in want and 4_400_000 in [r.n for r in got]
