@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,25 @@ def test_a_position_is_read_once(spark):
     assert [r.p for r in got[:2]] == [0.5, 0.5]
 
 
+def test_material_takes_less_than_writing_a_board_out(spark):
+    """It was counted in the board as written out, letter by letter, which took most of the query's time."""
+    ranks = ["rnbakabnr", "1c5c1", "p1p1p1p1p", "RHEAKAEHR", "....4k", "9x", "8", "91", "5/4", "é8"]
+    fens = [None, "", " ", *("/".join([r] + ["9"] * 9) + end for r in ranks for end in ("", " w - - 0 1", "\tw", "/9")), "9/" * 10, "9" * 10, "9/" * 10_000, "8/91/" + "9/" * 7 + "9"]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(fens)], "i int, fen string").select("i", B.material(F.col("fen")).alias("n")).orderBy("i").collect()
+    points = dict(zip(ranks, (40, 10, 5, 40, 0), strict=False))
+    found = {"/".join([r] + ["9"] * 9) + end: n for r, n in points.items() for end in ("", " w - - 0 1", "\tw")}
+    assert [r.n for r in rows] == [found.get(f) for f in fens]
+    many = spark.range(0, 100_000, 1, 1).select(F.concat(F.repeat(F.lit("rnbakabnr/"), 9), F.when(F.col("id") % 2 == 0, "1C5C1").otherwise("4K4"), F.lit(" w - - 0 1")).alias("fen"))
+
+    def seconds(made):
+        began = time.perf_counter()
+        many.select(made.alias("x")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    took = [min(seconds(made) for _ in range(3)) for made in (B.squares(F.col("fen")), B.material(F.col("fen")))]
+    assert took[1] < took[0], took
+
+
 def test_a_piece_map_reads_its_position_once(spark):
     """The board was decoded anew for each of its 90 places."""
     fen = F.concat(F.col("board"), F.lit(" w - - 0 1"))
